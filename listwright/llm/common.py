@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +18,21 @@ BUCKET_ROWS, LEAST_BUCKETS = 100_000, 64
 
 
 def tune(spark: SparkSession) -> None:
+    """Small Arrow batches, and this package on the path of Python workers wherever the driver was started from."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if not getattr(spark.sparkContext, "_listwright_shipped", False):
+        spark.sparkContext.addPyFile(_packed())
+        spark.sparkContext._listwright_shipped = True
+
+
+@cache
+def _packed() -> str:
+    root = Path(__file__).resolve().parents[2]
+    at = Path(tempfile.mkdtemp(prefix="listwright-code-")) / "listwright_code.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted((root / "listwright").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    return str(at)
 
 
 @cache
