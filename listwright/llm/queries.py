@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from listwright.llm import langid, mixing, sharding, simhash
+from listwright.llm import langid, mixing, rans, sharding, simhash
 
 QUERIES = {
     "op5_language": langid.op5_language,
     "op1_simhash": simhash.op1_simhash,
     "op3_interleave": sharding.op3_interleave,
+    "op6_rans": rans.op6_rans,
     "op8_mix": mixing.op8_mix,
 }
 
