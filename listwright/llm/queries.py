@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listwright.llm import langid, mixing, packing, rans, sharding, simhash
+from listwright.llm import langid, mixing, mpeg, packing, rans, sharding, simhash
 
 QUERIES = {
     "op5_language": langid.op5_language,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_rans": rans.op6_rans,
     "op8_mix": mixing.op8_mix,
     "op9_best_fit": packing.op9_best_fit,
+    "op10_mpeg": mpeg.op10_mpeg,
 }
 
 #: DuckDB SQL of those queries that SQL can express; the others are tested against brute force in tests/llm.
