@@ -72,7 +72,7 @@ def opened(path: str, mode: str):
     system, at = fs.FileSystem.from_uri(path)
     if mode == "w":
         system.create_dir(at.rpartition("/")[0], recursive=True)
-        return system.open_output_stream(at)
+        return system.open_output_stream(at, compression=None)
     return system.open_input_file(at)
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from listwright.llm import langid, mixing, mpeg, packing, rans, sharding, simhash
+from listwright.llm import langid, mixing, mpeg, packing, rans, sharding, simhash, warc
 
 QUERIES = {
+    "op4_warc": warc.op4_warc,
     "op5_language": langid.op5_language,
     "op1_simhash": simhash.op1_simhash,
     "op3_interleave": sharding.op3_interleave,
@@ -15,4 +16,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL of those queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_warc": warc.OP4_SQL}
