@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from listwright.llm import langid, mixing, mpeg, packing, rans, sharding, simhash, warc
+from listwright.llm import langid, mixing, mpeg, packing, rans, sharding, simhash, vectors, warc
 
 QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_language": langid.op5_language,
     "op1_simhash": simhash.op1_simhash,
+    "op2_vectors": vectors.op2_vectors,
     "op3_interleave": sharding.op3_interleave,
     "op6_rans": rans.op6_rans,
     "op8_mix": mixing.op8_mix,
