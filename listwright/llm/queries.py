@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listwright.llm import langid, mixing, mpeg, packing, rans, sharding, simhash, vectors, warc
+from listwright.llm import langid, mixing, mpeg, packing, pii, rans, sharding, simhash, vectors, warc
 
 QUERIES = {
     "op4_warc": warc.op4_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op2_vectors": vectors.op2_vectors,
     "op3_interleave": sharding.op3_interleave,
     "op6_rans": rans.op6_rans,
+    "op7_surrogates": pii.op7_surrogates,
     "op8_mix": mixing.op8_mix,
     "op9_best_fit": packing.op9_best_fit,
     "op10_mpeg": mpeg.op10_mpeg,
