@@ -44,9 +44,11 @@ _PATTERNS = {
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w]|-\d)",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
+    "phone": r"(?<![\w.])(?:(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}|\+(?!1\D)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|[.-]\d)",
     "person": rf"(?<!\w)(?P<title>{'|'.join(re.escape(t) for t in sorted(_GENDER, key=len, reverse=True))}) (?P<person>{_WORD}(?: {_WORD})?)",
 }
+#: Numbers that begin like those of card issuers, by length.
+_ISSUED = re.compile(r"4\d{12}(?:\d{3})?(?:\d{3})?|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11}|35\d{14}|6(?:011|4[4-9]\d|5\d\d)\d{12}|(?:5018|5020|5038|6304|6759|676[1-3])\d{9,15}")
 _ANY = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in _PATTERNS.items()))
 #: A text without any of these holds no entity.
 _HINT = re.compile(rf"[0-9@]|(?i:token|secret|passw|key)|{'|'.join(re.escape(t) for t in _GENDER)}")
@@ -94,6 +96,21 @@ def luhn(digits: str) -> bool:
     return (sum(odd) + sum(even)) % 10 == 0
 
 
+def iban_holds(core: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in core[4:] + core[:4])) % 97 == 1
+
+
+def holds(kind: str, core: str) -> bool:
+    """Whether an entity passes its kind's checks: a number that doesn't is not one, and stays."""
+    if kind == "card":
+        return luhn(core) and _ISSUED.fullmatch(core) is not None
+    if kind == "iban":
+        return iban_holds(core)
+    if kind == "ssn":
+        return core[:3] not in ("000", "666") and core[0] != "9" and core[3:5] != "00" and core[5:] != "0000"
+    return True
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
@@ -114,8 +131,9 @@ def _ip(core: str, s: Stream, nonce: int, key: bytes) -> str:
 
 
 def _card(core: str, s: Stream, nonce: int, key: bytes) -> str:
-    body = core[0] + "".join(str(s.below(10)) for _ in core[1:])
-    return next((x for x in (body[:-1] + str(d) for d in range(10)) if luhn(x)), body) if luhn(core) else body
+    """The issuer's digits stay; the last one makes the checksum hold."""
+    body = core[:4] + "".join(str(s.below(10)) for _ in core[5:])
+    return next(body + str(d) for d in range(10) if luhn(body + str(d)))
 
 
 def _phone(core: str, s: Stream, nonce: int, key: bytes) -> str:
@@ -212,7 +230,9 @@ def entities(text: str) -> Iterator[tuple[str, int, int, str]]:
                 end = start + len(names[0])
         elif kind == "phone" and not 7 <= len(_digits(text[start:end])) <= 15:
             continue
-        yield kind, start, end, core_of(kind, text[start:end], title)
+        core = core_of(kind, text[start:end], title)
+        if holds(kind, core):
+            yield kind, start, end, core
 
 
 @lru_cache(1 << 16)
