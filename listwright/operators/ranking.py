@@ -97,4 +97,4 @@ def quota_then_topup(df: DataFrame, path: str, url: str, order: str, limit: int)
     one = best_per(df, [url], [F.col(order)])
     n = one.agg(F.greatest(F.lit(1), F.floor(F.lit(limit) / F.count_distinct(path))).alias("quota"))
     ranked = one.withColumn("rn", F.row_number().over(Window.partitionBy(path).orderBy(order))).crossJoin(F.broadcast(n))  # one row
-    return ranked.withColumn("second", F.col("rn") > F.col("quota")).orderBy("second", order).limit(limit).drop("rn", "quota")
+    return ranked.withColumn("second", F.col("rn") > F.col("quota")).orderBy("second", order).limit(limit).drop("rn", "quota", "second")
