@@ -11,12 +11,18 @@ from functools import cache
 from struct import pack
 
 import numpy as np
+import regex
 
-#: Parts whose ids are kept (all are forgotten when there are more), and the longest part that is.
-KEPT_PARTS, KEPT_LENGTH = 800_000, 48
+#: Parts of a generation whose ids are kept (there are two), and the longest part that is.
+KEPT_PARTS, KEPT_LENGTH = 600_000, 48
 IDS = np.dtype("<u2")
 
 
+# The patterns of pre-tokens of the two kinds of vocabulary.
+PATTERN_BYTES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The last sign whose class all versions of the patterns agree on for certain.
+LATIN = "\u024f"
 #: Signs that Python's split() takes for white space and the vocabularies don't.
 _PYTHON_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -46,6 +52,9 @@ class Encoder:
             raise ValueError("ids of 16 bits only")
         self.model = self.tokenizer.model
         self.lowers = self.tokenizer.normalizer is not None
+        self.pattern = regex.compile(PATTERN_WORDS if self.lowers else PATTERN_BYTES)
+        self.starts: dict[str, bytes] = {}
+        self.short: dict[str, bytes] = {}
         self.signs = [_byte_signs()[b] for b in range(256)]
         self.parts = _Parts(self)
 
@@ -53,9 +62,9 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, IDS).tobytes()
 
     def word(self, word: str, blank: str) -> bytes:
-        """A run of letters, after a blank or at a start, by the model alone."""
-        if word.isascii():
-            line = self.signs[32] + word if blank else word
+        """A pre-token by the model alone."""
+        if word.isascii() and word.isprintable():
+            line = (blank + word).replace(" ", self.signs[32])
         else:
             line = "".join(map(self.signs.__getitem__, (blank + word).encode()))
         ids = [t.id for t in self.model.tokenize(line)]
@@ -75,7 +84,42 @@ class Encoder:
             return self._careful(text)
 
     def start(self, part: str) -> bytes:
-        return self.word(part, "") if part.isalpha() else self.plain(part)
+        """The ids of a part at the start of a text or a line."""
+        got = self.starts.get(part)
+        if got is None:
+            got = self.pieces(part) if not self.lowers else self.made(part)
+            if len(self.starts) < KEPT_PARTS // 8 and len(part) <= KEPT_LENGTH:
+                self.starts[part] = got
+        return got
+
+    def pieces(self, text: str) -> bytes:
+        """The ids of a short text: its pre-tokens by the vocabulary's own pattern, each by the model alone. Signs beyond
+        the Latin ones go by the tokenizer itself."""
+        if len(text) > KEPT_LENGTH or max(text) > LATIN or (not self.lowers and "<|" in text):
+            return self.plain(text)
+        out = []
+        for token in self.pattern.findall(text):
+            got = self.short.get(token)
+            if got is None:
+                got = self.word(token, "")
+                if len(token) <= 4 and len(self.short) < 1 << 16:
+                    self.short[token] = got
+            out.append(got)
+        return b"".join(out)
+
+    def made(self, part: str) -> bytes:
+        """The ids of a part that stands behind a blank (for a vocabulary that keeps blanks)."""
+        if self.lowers:
+            low = part.lower() if part.isascii() else self.tokenizer.normalizer.normalize_str(part)
+            return self.word(low, "") if low.isalpha() else self.pieces(low)
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise _Unsafe
+        if part.isalpha():
+            return self.word(part, " ")
+        left, line, right = part.partition("\n")
+        if line and left and right and not (left[-1].isspace() or right[0].isspace()):
+            return self.parts[left] + self.start("\n") + self.start(right)
+        return self.pieces(" " + part)
 
     def _careful(self, text: str) -> bytes:
         """As ids(), where blanks beside other white space stay within their part."""
@@ -95,40 +139,21 @@ class Encoder:
 
 
 class _Parts(dict):
+    """Ids by part, in two generations: when the young one is full it becomes the old one, and what recurs comes back."""
+
     def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, part: str) -> bytes:
-        e = self.encoder
-        if e.lowers:
-            low = part.lower() if part.isascii() else e.tokenizer.normalizer.normalize_str(part)
-            body, end = (low[:-1], low[-1]) if low[-1:] in (".", ",") else (low, "")
-            if body.isalpha():
-                got = e.word(body, "") + (self._end(end) if end else b"")
-            else:
-                got = e.plain(part)
-        else:
-            if not part or part[0].isspace() or part[-1].isspace():
-                raise _Unsafe
-            body, end = (part[:-1], part[-1]) if part[-1] in ".," else (part, "")
-            if body.isalpha():
-                got = e.word(body, " ") + (self._end(end) if end else b"")
-            else:
-                left, line, right = part.partition("\n")
-                if line and left and right and not (left[-1].isspace() or right[0].isspace()):
-                    got = self[left] + e.plain("\n") + e.start(right)
-                else:
-                    got = e.plain(" " + part)
-        if len(part) <= KEPT_LENGTH:
-            if len(self) >= KEPT_PARTS:
-                self.clear()
-            self[part] = got
-        return got
-
-    def _end(self, sign: str) -> bytes:
-        got = self.get("\0" + sign)
+        got = self.old.get(part)
         if got is None:
-            got = self["\0" + sign] = self.encoder.plain(sign)
+            got = self.encoder.made(part)
+            if len(part) > KEPT_LENGTH:
+                return got
+        if len(self) >= KEPT_PARTS:
+            self.old = dict(self)
+            self.clear()
+        self[part] = got
         return got
 
 
