@@ -111,11 +111,17 @@ class Encoder:
         """The ids of a part that stands behind a blank (for a vocabulary that keeps blanks)."""
         if self.lowers:
             low = part.lower() if part.isascii() else self.tokenizer.normalizer.normalize_str(part)
-            return self.word(low, "") if low.isalpha() else self.pieces(low)
+            if low.isalpha():
+                return self.word(low, "")
+            if low[-1:] in (".", ",") and low[:-1].isalpha() and low == part:
+                return self.parts[low[:-1]] + self.start(low[-1])
+            return self.pieces(low)
         if not part or part[0].isspace() or part[-1].isspace():
             raise _Unsafe
         if part.isalpha():
             return self.word(part, " ")
+        if part[-1] in ".," and part[:-1].isalpha():
+            return self.parts[part[:-1]] + self.start(part[-1])
         left, line, right = part.partition("\n")
         if line and left and right and not (left[-1].isspace() or right[0].isspace()):
             return self.parts[left] + self.start("\n") + self.start(right)
