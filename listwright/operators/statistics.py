@@ -106,7 +106,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] = (), least: int = 3)
     """M-11: rank correlation of complete rows; null below `least` rows or without spread."""
     whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
     ranks = average_ranks(average_ranks(whole, "__x", by, "rx"), "__y", by, "ry")
-    return ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when((F.count(F.lit(1)) >= least) & (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry")).alias("rho"))
+    return ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))).alias("rho"))
 
 
 def spearman_matrix(df: DataFrame, dims: list[str], least: int = 3) -> DataFrame:
