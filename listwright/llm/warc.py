@@ -132,22 +132,19 @@ def _member_at(f: BinaryIO, at: int) -> tuple[bytes, int]:
 def _next_start(f: BinaryIO, at: int, end: int) -> int:
     """The next place from which a member or a version line might begin; the end if there is none."""
     while at < end:
-        f.seek(max(0, at - 1))
-        lead = 1 if at else 0
-        data = f.read(CHUNK + 8 + lead)
+        f.seek(at)
+        data = f.read(CHUNK + 8)
         best = len(data)
-        i = data.find(b"\x1f\x8b\x08", lead)
+        i = data.find(b"\x1f\x8b\x08")
         while 0 <= i < best:
             if i + 3 >= len(data) or data[i + 3] & 0xE0 == 0:
                 best = i
             i = data.find(b"\x1f\x8b\x08", i + 1)
-        i = data.find(b"WARC/", lead)
-        while 0 <= i < best:
-            if at - lead + i == 0 or data[i - 1 : i] == b"\n":
-                best = i
-            i = data.find(b"WARC/", i + 1)
+        i = data.find(b"WARC/")
+        if 0 <= i < best:
+            best = i
         if best < len(data):
-            return at - lead + best
+            return at + best
         at += CHUNK
     return end
 
