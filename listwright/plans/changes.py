@@ -10,7 +10,7 @@ from listwright.plans.roles import MAKERS, both, framed
 from listwright.sources import table
 
 OLD = "SELECT p_partkey AS k, p_name AS title, p_brand AS url, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS price, p_partkey AS first_seen, 1 AS last_seen FROM part WHERE p_partkey % 3 <> 0"
-NEW = "SELECT p_partkey AS k, CASE WHEN p_partkey % 5 <> 0 THEN concat('new ', p_name) END AS title, p_type AS url, CASE WHEN p_partkey % 4 = 0 THEN p_size + 100 END AS price FROM part WHERE p_partkey % 2 = 0"
+NEW = "SELECT p_partkey AS k, CASE WHEN p_partkey % 5 <> 0 THEN concat('new ', p_name) END AS title, p_type AS url, CASE WHEN p_partkey % 4 = 0 THEN p_size + 100 END AS price FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0"
 
 
 def frame(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -30,9 +30,9 @@ def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
 SNAP = "SELECT user_id AS k, date_trunc('hour', ts) AS at, min(event_id) AS first_id FROM events WHERE {} GROUP BY 1, 2"
 
 
-@framed("k02_append_snapshots", f"WITH o AS ({SNAP.format('event_id % 2 = 0')}), n AS ({SNAP.format('event_id % 3 = 0')}) SELECT * FROM o UNION ALL SELECT * FROM n WHERE (k, at) NOT IN (SELECT (k, at) FROM o)".replace(" at", " at_").replace("at,", "at_,").replace(", at)", ", at_)"))
+@framed("k02_append_snapshots", f"WITH o AS ({SNAP.format('event_id % 2 = 0')}), n AS ({SNAP.format('true')}) SELECT * FROM o UNION ALL SELECT * FROM n WHERE (k, at) NOT IN (SELECT (k, at) FROM o)".replace(" at", " at_").replace("at,", "at_,").replace(", at)", ", at_)"))
 def k02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = (frame(spark, sf_dir, SNAP.format(w).replace(" at,", " at_,")) for w in ("event_id % 2 = 0", "event_id % 3 = 0"))
+    old, new = (frame(spark, sf_dir, SNAP.format(w).replace(" at,", " at_,")) for w in ("event_id % 2 = 0", "true"))
     return U.appended(old, new, ["k", "at_"])
 
 
@@ -90,10 +90,10 @@ def k14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.wiped(table(spark, sf_dir, "part").select("p_partkey", "p_name"), ["p_name"])
 
 
-@framed("k17_ratings_cache", "SELECT card_key, 'cached' AS origin FROM ratings WHERE card_key % 3 = 0 UNION ALL SELECT card_key, 'new' FROM ratings WHERE card_key % 3 <> 0 AND card_key % 2 = 0")
+@framed("k17_ratings_cache", "SELECT card_key, 'cached' AS origin FROM ratings WHERE card_key % 3 = 0 UNION ALL SELECT card_key, 'new' FROM ratings WHERE card_key % 3 <> 0")
 def k17(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = MAKERS["ratings"](spark, sf_dir).select("card_key")
-    return U.appended(r.where("card_key % 3 = 0").withColumn("origin", F.lit("cached")), r.where("card_key % 2 = 0").withColumn("origin", F.lit("new")), ["card_key"])
+    return U.appended(r.where("card_key % 3 = 0").withColumn("origin", F.lit("cached")), r.withColumn("origin", F.lit("new")), ["card_key"])
 
 
 @framed("k18_gallery_html", "SELECT source, concat('<section>', string_agg(concat('<figure>', listing_id, '</figure>'), '' ORDER BY listing_id), '</section>') AS html FROM listings GROUP BY source")

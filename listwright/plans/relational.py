@@ -106,7 +106,7 @@ both("p13_group_or_subtype", "SELECT id, split_part(occasion, '/', 1) AS grp FRO
 both("p14_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 both("p15_not_in", "SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 both("p16_case_in_aggregate", "SELECT l_returnflag, count(DISTINCT CASE WHEN l_quantity > 25 THEN l_orderkey END) AS big FROM lineitem GROUP BY 1")
-both("p17_literals", "SELECT o_orderkey, 'A' AS condition, CAST(NULL AS VARCHAR(9)) AS cover FROM orders WHERE o_orderkey < 50")
+both("p17_literals", "SELECT o_orderkey, 'A' AS condition, CAST(NULL AS VARCHAR(9)) AS cover FROM orders")
 
 
 @framed("p18_masks", "SELECT card_key, coalesce(occasion, '?') AS occasion FROM ratings WHERE condition IN ('BUILDING', 'MACHINERY') AND purchase_intent IS NOT NULL")
@@ -232,11 +232,11 @@ both("a15_value_counts", "SELECT coalesce(occasion, '(none)') AS occasion, count
 both("a16_population_sd", "SELECT conv_id, round(stddev_pop(length(text)), 6) AS sd, round(avg(length(text)), 6) AS mean FROM conversations GROUP BY conv_id")
 
 
-@framed("a17_repetition", "WITH n AS (SELECT trim(regexp_replace(translate(lower(left(text, 20)), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), '\\s+', ' ', 'g')) AS norm, left(text, 20) AS raw FROM documents), g AS (SELECT norm, count(*) AS k FROM n GROUP BY norm) SELECT CAST(sum(k) AS BIGINT) AS n, (SELECT count(DISTINCT raw) FROM n) AS exact, count(*) AS normalised, CAST(sum(k) - count(*) AS BIGINT) AS redundant, max(k) AS largest FROM g")
+@framed("a17_repetition", "WITH n AS (SELECT trim(regexp_replace(translate(lower(text), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), '\\s+', ' ', 'g')) AS norm, text AS raw FROM documents), g AS (SELECT norm, count(*) AS k FROM n GROUP BY norm) SELECT CAST(sum(k) AS BIGINT) AS n, (SELECT count(DISTINCT raw) FROM n) AS exact, count(*) AS normalised, CAST(sum(k) - count(*) AS BIGINT) AS redundant, max(k) AS largest FROM g")
 def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
     from listwright.functions.titles import normalised
 
-    n = table(spark, sf_dir, "documents").select(F.left("text", F.lit(20)).alias("raw")).withColumn("norm", normalised(F.col("raw")))
+    n = table(spark, sf_dir, "documents").select(F.col("text").alias("raw")).withColumn("norm", normalised(F.col("raw")))
     per = n.groupBy("norm").agg(F.count(F.lit(1)).alias("k"))
     exact = n.agg(F.count_distinct("raw").alias("exact"))
     return per.agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("normalised"), (F.sum("k") - F.count(F.lit(1))).alias("redundant"), F.max("k").alias("largest")).crossJoin(exact).select("n", "exact", "normalised", "redundant", "largest")
@@ -342,9 +342,9 @@ def w11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_per(table(spark, sf_dir, "lineitem"), ["l_orderkey"], order, 3, "r").select("l_orderkey", "l_linenumber", "l_partkey", "r")
 
 
-@framed("w12_rotation", "SELECT o_orderkey, (o_orderkey - 1 + 3) % 7 + 1 AS turn FROM orders WHERE o_orderkey >= 1")
+@framed("w12_rotation", "SELECT o_orderkey, (o_orderkey - 1 + 3) % 7 + 1 AS turn FROM orders")
 def w12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey >= 1").select("o_orderkey", R.rotated(F.col("o_orderkey"), F.lit(3), F.lit(7)).alias("turn"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", R.rotated(F.col("o_orderkey"), F.lit(3), F.lit(7)).alias("turn"))
 
 
 @framed("w13_minmax", "SELECT id, round(CASE WHEN hi > lo THEN 18 + 82 * (fit - lo) / (hi - lo) ELSE 100 END, 6) AS s FROM (SELECT id, fit, min(fit) OVER (PARTITION BY id // 10) AS lo, max(fit) OVER (PARTITION BY id // 10) AS hi FROM graded)")

@@ -22,7 +22,7 @@ ROLES = {
       FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'HOUSEHOLD')""",
     "graded": """graded AS (
       SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS condition, l_discount AS purchase_intent, l_tax AS aesthetic, l_quantity / 50 AS fit
-      FROM lineitem WHERE l_orderkey % 10 = 0)""",
+      FROM lineitem)""",
     "titles": """titles AS (
       SELECT p_partkey AS id, p_type, CASE p_partkey % 9
         WHEN 0 THEN concat(p_name, ' ', p_size, 'th Birthday') WHEN 1 THEN concat('Turning ', p_size + 9, ' for my Son') WHEN 2 THEN concat(p_name, ' age ', p_size)

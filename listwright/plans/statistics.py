@@ -152,9 +152,9 @@ def m18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.holm(T.pairwise(graded(spark, sf_dir), "condition", "purchase_intent"), "p_two").select("a", "b", F.round("p_holm", 6).alias("p_holm"))
 
 
-@framed("m19_pairwise_by_group", """WITH g AS (SELECT o_orderpriority AS occasion, o_orderstatus AS c, o_totalprice AS v FROM orders WHERE o_orderkey % 5 = 0), s AS (SELECT x.occasion, x.c AS a, y.c AS b, sum((x.v > y.v)::INT + (x.v = y.v)::INT / 2) AS u FROM g x JOIN g y ON x.occasion = y.occasion AND x.c < y.c GROUP BY ALL) SELECT occasion, a, b, round(u, 6) AS u FROM s""")
+@framed("m19_pairwise_by_group", """WITH g AS (SELECT o_orderpriority AS occasion, o_orderstatus AS c, o_totalprice AS v FROM orders), s AS (SELECT x.occasion, x.c AS a, y.c AS b, sum((x.v > y.v)::INT + (x.v = y.v)::INT / 2) AS u FROM g x JOIN g y ON x.occasion = y.occasion AND x.c < y.c GROUP BY ALL) SELECT occasion, a, b, round(u, 6) AS u FROM s""")
 def m19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderpriority").alias("occasion"), "o_orderstatus", "o_totalprice")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("occasion"), "o_orderstatus", "o_totalprice")
     return T.pairwise(rows, "o_orderstatus", "o_totalprice", ["occasion"], 2).select("occasion", "a", "b", F.round("u", 6).alias("u"))
 
 
@@ -170,18 +170,19 @@ def m20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.equivalence(graded(spark, sf_dir), "condition", "purchase_intent", 0.02).withColumn("p_tost", F.round("p_tost", 6))
 
 
-@framed("m21_hodges_lehmann", "SELECT x.condition AS a, y.condition AS b, round(quantile_cont(x.purchase_intent - y.purchase_intent, 0.5), 6) AS hodges_lehmann FROM (SELECT * FROM graded WHERE id % 7 = 1) x JOIN (SELECT * FROM graded WHERE id % 7 = 1) y ON x.condition < y.condition GROUP BY 1, 2")
+@framed("m21_hodges_lehmann", """WITH g AS (SELECT condition, purchase_intent AS v, count(*) AS k FROM graded GROUP BY ALL), d AS (SELECT x.condition AS a, y.condition AS b, x.v - y.v AS d, sum(x.k * y.k) AS w FROM g x JOIN g y ON x.condition < y.condition GROUP BY ALL),
+    c AS (SELECT *, sum(w) OVER (PARTITION BY a, b ORDER BY d) AS upto, sum(w) OVER (PARTITION BY a, b) AS total FROM d) SELECT a, b, round((min(d) FILTER (upto > (total - 1) // 2) + min(d) FILTER (upto > total // 2)) / 2, 6) AS hodges_lehmann FROM c GROUP BY a, b""")
 def m21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = T.hodges_lehmann(T.pair_counts(graded(spark, sf_dir).where("id % 7 = 1"), "condition", "purchase_intent"))
+    out = T.hodges_lehmann(T.pair_counts(graded(spark, sf_dir), "condition", "purchase_intent"))
     return out.withColumn("hodges_lehmann", F.round("hodges_lehmann", 6))
 
 
-@framed("m22_bootstrap", """WITH r AS (SELECT condition, purchase_intent AS v, row_number() OVER (PARTITION BY condition ORDER BY card_key) - 1 AS i, count(*) OVER (PARTITION BY condition) AS n FROM ratings WHERE card_key % 50 = 0), s AS (SELECT condition, any_value(n) AS n FROM r GROUP BY 1),
-    d AS (SELECT condition, turn, ('0x' || substr(md5(concat_ws('|', '42', turn, slot)), 1, 12))::BIGINT % n AS i FROM s, range(200) t(turn), range(100000) k(slot) WHERE slot < n), m AS (SELECT condition, turn, avg(v) AS m FROM d JOIN r USING (condition, i) GROUP BY 1, 2)
+@framed("m22_bootstrap", """WITH r AS (SELECT condition, purchase_intent AS v, row_number() OVER (PARTITION BY condition ORDER BY card_key) - 1 AS i, count(*) OVER (PARTITION BY condition) AS n FROM ratings), s AS (SELECT condition, any_value(n) AS n FROM r GROUP BY 1),
+    d AS (SELECT condition, turn, ('0x' || substr(md5(concat_ws('|', '42', turn, slot)), 1, 12))::BIGINT % n AS i FROM s, range(60) t(turn), range((SELECT max(n) FROM s)) k(slot) WHERE slot < n), m AS (SELECT condition, turn, avg(v) AS m FROM d JOIN r USING (condition, i) GROUP BY 1, 2)
     SELECT condition, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY condition""")
 def m22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = MAKERS["ratings"](spark, sf_dir).where("card_key % 50 = 0")
-    return T.bootstrap_mean(rows, "condition", "card_key", "purchase_intent", rounds=200).select("condition", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    rows = MAKERS["ratings"](spark, sf_dir)
+    return T.bootstrap_mean(rows, "condition", "card_key", "purchase_intent", rounds=60).select("condition", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @framed("m23_delta_sensitivity", " UNION ALL ".join(f"(WITH {_tost(f'{d}::DOUBLE')} SELECT a, b, {d}::DOUBLE AS delta, round(p, 6) AS p_tost FROM t)" for d in (0.001, 0.005, 0.02)))
@@ -222,12 +223,12 @@ both("m30_label_coverage", "SELECT l.source, count(m.quality) AS quality, count(
 both("m31_seed_spread", "SELECT l_linestatus, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd, round(min(m), 6) AS low, round(max(m), 6) AS high FROM (SELECT l_linestatus, l_linenumber, avg(l_discount) AS m FROM lineitem GROUP BY 1, 2) s GROUP BY l_linestatus")
 
 
-@framed("m32_persona_variation", """WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '([a-z0-9'']+)', 1) AS s FROM conversations WHERE conv_id < 40), p AS (SELECT a.conv_id = b.conv_id AS within_card, CASE WHEN len(a.s) + len(b.s) = 0 THEN 0 ELSE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) END AS j
+@framed("m32_persona_variation", """WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '([a-z0-9'']+)', 1) AS s FROM conversations), p AS (SELECT a.conv_id = b.conv_id AS within_card, CASE WHEN len(a.s) + len(b.s) = 0 THEN 0 ELSE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) END AS j
     FROM w a JOIN w b ON (a.conv_id = b.conv_id AND a.turn < b.turn) OR (a.turn = 0 AND b.turn = 0 AND a.conv_id < b.conv_id)) SELECT within_card, count(*) AS n, round(avg(j), 6) AS j FROM p GROUP BY 1""")
 def m32(spark: SparkSession, sf_dir: str) -> DataFrame:
     from listwright.functions.titles import word_jaccard
 
-    c = table(spark, sf_dir, "conversations").where("conv_id < 40").select("conv_id", "turn", "text")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     a, b = c.alias("a"), c.alias("b")
     same = a.join(b, F.col("a.conv_id") == F.col("b.conv_id")).where("a.turn < b.turn").select(F.lit(True).alias("within_card"), F.col("a.text").alias("x"), F.col("b.text").alias("y"))
     first = c.where("turn = 0")

@@ -226,17 +226,24 @@ def f27(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORDS = "regexp_extract_all(lower({}), '([a-z0-9'']+)', 1)"
-HEADS = f"SELECT doc_id, {WORDS.format('left(text, 60)')} AS h, {WORDS.format('substr(text, 40, 200)')} AS s FROM documents"
+HEADS = f"SELECT a.conv_id, a.turn, {WORDS.format('a.text')} AS h, {WORDS.format('b.text')} AS s FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
 
 
-@framed("f28_overlap_recall", f"SELECT doc_id, CASE WHEN len(h) = 0 THEN 0 ELSE round(len([w FOR w IN h IF list_contains(s, w)]) / len(h), 6) END AS recall FROM ({HEADS})")
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn with the one after it."""
+    c = table(spark, sf_dir, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("seen"))
+    return c.select("conv_id", "turn", F.col("text").alias("headline")).join(after, ["conv_id", "turn"])
+
+
+@framed("f28_overlap_recall", f"SELECT conv_id, turn, CASE WHEN len(h) = 0 THEN 0 ELSE round(len([w FOR w IN h IF list_contains(s, w)]) / len(h), 6) END AS recall FROM ({HEADS})")
 def f28(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.overlap_recall(F.left("text", F.lit(60)), F.substring("text", 40, 200)), 6).alias("recall"))
+    return answered(spark, sf_dir).select("conv_id", "turn", F.round(T.overlap_recall(F.col("headline"), F.col("seen")), 6).alias("recall"))
 
 
-@framed("f29_word_jaccard", f"SELECT doc_id, CASE WHEN len(h) + len(s) = 0 THEN 0 ELSE round(len(list_intersect(h, s)) / len(list_distinct(list_concat(h, s))), 6) END AS j FROM ({HEADS})")
+@framed("f29_word_jaccard", f"SELECT conv_id, turn, CASE WHEN len(h) + len(s) = 0 THEN 0 ELSE round(len(list_intersect(h, s)) / len(list_distinct(list_concat(h, s))), 6) END AS j FROM ({HEADS})")
 def f29(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.word_jaccard(F.left("text", F.lit(60)), F.substring("text", 40, 200)), 6).alias("j"))
+    return answered(spark, sf_dir).select("conv_id", "turn", F.round(T.word_jaccard(F.col("headline"), F.col("seen")), 6).alias("j"))
 
 
 @framed("f30_normalised", "SELECT id, trim(regexp_replace(translate(lower(title), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), '\\s+', ' ', 'g')) AS n FROM titles")
@@ -244,9 +251,9 @@ def f30(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(spark, sf_dir).select("id", T.normalised(F.col("title")).alias("n"))
 
 
-@framed("f31_caption", "SELECT doc_id, array_to_string(string_split(trim(regexp_replace(regexp_replace(left(text, 400), '[\"''\\n\\r]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')[1:8], ' ') AS c FROM documents")
+@framed("f31_caption", "SELECT doc_id, array_to_string(string_split(trim(regexp_replace(regexp_replace(text, '[\"''\\n\\r]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')[1:8], ' ') AS c FROM documents")
 def f31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.caption(F.left("text", F.lit(400))).alias("c"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.caption(F.col("text")).alias("c"))
 
 
 @framed("f32_scored_title", "SELECT id, printf('%s (score: %.2f)', trim(regexp_replace(title, '\\s+', ' ', 'g')), (id % 4) / 4) AS s FROM titles")
