@@ -22,7 +22,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
         if hasattr(v, "__len__") and not isinstance(v, (str, bytes, dict)):
             return str(list(v))
-        if v is None or v is pd.NaT or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
             return "null"
         if isinstance(v, bool) or not isinstance(v, (int, float)):
             return str(v)
