@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from listwright.sources.shared import shipped
+
 FLAGSHIP = "w04_representatives"
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +21,12 @@ def query(name: str, sql: str | None = None):
     def put(f):
         if name in _QUERIES:
             raise ValueError(f"two queries are called {name}")
-        _QUERIES[name] = f
+
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(shipped(spark), sf_dir)
+
+        _QUERIES[name] = run
         if sql is not None:
             _SQL[name] = sql
         return f

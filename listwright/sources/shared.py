@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@cache
+def _packed() -> str:
+    root = Path(__file__).resolve().parents[2]
+    at = Path(tempfile.mkdtemp(prefix="listwright-code-")) / "listwright_code.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted((root / "listwright").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    return str(at)
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, with this package on the path of its Python workers wherever the driver was started from. Spark serves
+    the archive from the driver to the executors."""
+    if not getattr(spark.sparkContext, "_listwright_shipped", False):
+        spark.sparkContext.addPyFile(_packed())
+        spark.sparkContext._listwright_shipped = True
+    return spark
