@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from functools import cache
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from listwright.sources.shared import fresh_dir, shared_dir, shipped, written
+
+__all__ = ["buckets_for", "dropped", "free_name", "fresh_dir", "opened", "ranked", "shared_dir", "tune", "written"]
+
 #: Rows of one Arrow batch. Texts may be long, so batches are kept small.
 BATCH_ROWS = 512
 #: Rows of one rank bucket at large sizes; every group has at least LEAST_BUCKETS buckets.
@@ -20,42 +18,7 @@ BUCKET_ROWS, LEAST_BUCKETS = 100_000, 64
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches, and this package on the path of Python workers wherever the driver was started from."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if not getattr(spark.sparkContext, "_listwright_shipped", False):
-        spark.sparkContext.addPyFile(_packed())
-        spark.sparkContext._listwright_shipped = True
-
-
-@cache
-def _packed() -> str:
-    root = Path(__file__).resolve().parents[2]
-    at = Path(tempfile.mkdtemp(prefix="listwright-code-")) / "listwright_code.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for f in sorted((root / "listwright").rglob("*.py")):
-            z.write(f, f.relative_to(root))
-    return str(at)
-
-
-@cache
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="listwright-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where spark.checkpoint.dir is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    return (at or _own_dir()).rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage of df with a table in the shared folder: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    shipped(spark)
 
 
 def dropped(spark: SparkSession, path: str) -> None:
