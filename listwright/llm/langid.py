@@ -172,7 +172,8 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 out.loc[on, "ambiguous"] = gap < AMBIGUOUS
             yield out
 
-    seen = docs.select(*[F.col(f"`{c}`") for c in kept], predict(F.col(f"`{text}`")).alias("__lang"))
+    once = predict.asNondeterministic()  # else a filter on the prediction would have it made twice
+    seen = docs.select(*[F.col(f"`{c}`") for c in kept], once(F.col(f"`{text}`")).alias("__lang"))
     return seen.select(*[F.col(f"`{c}`") for c in kept], "__lang.*")
 
 
