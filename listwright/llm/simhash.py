@@ -1,4 +1,5 @@
-"""Operator 1: SimHash near-duplicates by a binary trie self-join."""
+"""Operator 1: SimHash near-duplicates by a binary trie self-join; and the pipeline's stage, on the Jaccard similarity of
+word shingles."""
 
 from __future__ import annotations
 
@@ -14,6 +15,12 @@ from listwright.llm.common import free_name, tune, written
 from listwright.operators.graph import connected_components
 
 BITS, BUDGET, SEED, WORDS = 64, 4, 42, 4
+#: The pipeline's near-duplicates: shingles of so many words, whose sets have at least this Jaccard similarity.
+ALIKE_WORDS, ALIKE = 5, (4, 5)
+#: Blocks of the longer fingerprint (MinHash) and values a block: sets of similarity 0.8 share a block but once in 2e7 pairs.
+SKETCH_BLOCKS, BLOCK_VALUES = 32, 4
+#: Distinct sets of a block value that a task compares; those with more are dealt out as pairs of parts of this size.
+MOST_ALIKE = 1024
 #: Leaves of one trie that a task holds; a block value with more fingerprints is dealt out as pairs of trie nodes.
 MOST_LEAVES = 100_000
 #: Pairs of nodes that one step of the descent holds.
@@ -261,9 +268,84 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
     return prints.join(where, "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shingle_hashes(text: str | None, words: int = ALIKE_WORDS) -> np.ndarray:
+    """The distinct hashes, sorted, of a text's shingles, cut and hashed as those of the fingerprint; none without words."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
+    stops = (ends[words - 1 :] if len(parts) >= words else ends[-1:]).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=False)], dtype=np.uint64))
+
+
+_TURNS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, SKETCH_BLOCKS * BLOCK_VALUES, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(hashes: np.ndarray) -> list[int]:
+    """The MinHash blocks of a set of hashes as signed longs: in each, the least of its hashes in some random orders."""
+    least = np.full(SKETCH_BLOCKS * BLOCK_VALUES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        np.minimum(least, (hashes[at : at + (1 << 12)] * _TURNS[0] + _TURNS[1]).min(axis=1), out=least)
+    rows = least.astype("<u8").reshape(SKETCH_BLOCKS, BLOCK_VALUES)
+    return [_signed(xxhash.xxh64_intdigest(r.tobytes(), i)) for i, r in enumerate(rows)]
+
+
+def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs (i, j) of sets of similarity ALIKE or more, such that their chains join what all such pairs join.
+
+    The sets that are not reached yet are compared with each set reached, so that a group of n copies takes n comparisons."""
+    up, down = ALIKE
+    size = np.array([len(x) for x in sets])
+    left, out = np.arange(len(sets)), []
+    work: list[int] = []
+    while len(left):
+        if not work:
+            work, left = [int(left[0])], left[1:]
+        x = work.pop()
+        near = (np.minimum(size[left], size[x]) * down >= up * np.maximum(size[left], size[x])) & (size[left] > 0)
+        if size[x] == 0 or not near.any():
+            continue
+        these = left[near]
+        every = np.concatenate([sets[i] for i in these])
+        at = np.minimum(np.searchsorted(sets[x], every), size[x] - 1)
+        both = np.add.reduceat((sets[x][at] == every).astype(np.int64), np.concatenate(([0], np.cumsum(size[these])[:-1])))
+        got = these[both * down >= up * (size[these] + size[x] - both)]
+        out += [(x, int(i)) for i in got]
+        work += got.tolist()
+        left = left[~np.isin(left, got)]
+    return out
+
+
+def _alike_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (unit, lo, hi, node, hashes), sorted by unit: links (u, v) of nodes."""
+    now, nodes, sets = None, [], []
+
+    def links() -> pd.DataFrame:
+        pairs = alike(sets)
+        return pd.DataFrame({"u": np.array([nodes[a] for a, _ in pairs], np.int64), "v": np.array([nodes[b] for _, b in pairs], np.int64)})
+
+    for b in batches:
+        for unit, node, hashes in zip(zip(b["unit"], b["lo"], b["hi"], strict=True), b["node"], b["hashes"], strict=True):
+            if unit != now:
+                if nodes:
+                    yield links()
+                now, nodes, sets = unit, [], []
+            nodes.append(node)
+            sets.append(np.asarray(hashes, np.int64).view(np.uint64))
+    if nodes:
+        yield links()
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_ALIKE) -> DataFrame:
     """docs without the rows that have an earlier near-duplicate: one row of each component stays, that of its smallest
-    key; of rows that repeat this key, the one whose values hash lowest. Rows with null keys count as largest."""
+    key; of rows that repeat this key, the one whose values hash lowest. Rows with null keys count as largest.
+
+    Rows link when their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates share a block of
+    a MinHash fingerprint; each is verified on the whole sets. Equal sets are one node; nodes of the same block value
+    are compared in one task up to `most`, and as pairs of parts of that size beyond."""
     marked = free_name(docs, "mark")
     numbered = docs.withColumn(marked, F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith(("map", "variant"))]))
     pick = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("mark"))
@@ -271,14 +353,30 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "mark": b["mark"], "fp": np.array([_signed(fingerprint(t)) for t in b["text"]], dtype=np.int64)})
+            sets = [shingle_hashes(t) for t in b["text"]]
+            nodes = np.array([_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets], dtype=np.int64)
+            yield pd.DataFrame({"id": b["id"], "mark": b["mark"], "node": nodes, "blocks": [sketch(x) for x in sets]})
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"node": b["node"], "hashes": [shingle_hashes(t).view(np.int64) for t in b["text"]]})
 
     tune(docs.sparkSession)
     rows = numbered.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(marked).alias("mark"))
-    prints = rows.mapInPandas(each, f"id {ids}, mark long, fp long")
-    nodes = written(prints.groupBy("fp").agg(F.min(pick).alias("first")), "simhash-nodes")
-    parts = connected_components(fingerprint_links(nodes.select("fp")))
-    groups = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
+    prints = rows.mapInPandas(each, f"id {ids}, mark long, node long, blocks array<long>")
+    nodes = written(prints.groupBy("node").agg(F.min(pick).alias("first"), F.first("blocks").alias("blocks")), "alike-nodes")
+    shared = nodes.select("node", F.explode("blocks").alias("block")).groupBy("block").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    shared = written(shared.where(F.size("nodes") > 1).select("nodes").distinct(), "alike-blocks")
+    parts = F.ceil(F.size("nodes") / most).cast("int")
+    units = shared.select(F.xxhash64("nodes").alias("unit"), parts.alias("parts"), F.explode("nodes").alias("node"))
+    units = units.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("mate", F.explode(F.expr("sequence(0, parts - 1)")))
+    units = units.select("unit", F.least("part", "mate").alias("lo"), F.greatest("part", "mate").alias("hi"), "node")
+    texts = nodes.join(units.select("node").distinct(), "node").select("node", F.col("first.id").alias("__id"), F.col("first.mark").alias("__mark"))
+    texts = rows.join(texts, (F.col("mark") == F.col("__mark")) & F.col("id").eqNullSafe(F.col("__id"))).select("node", "text").dropDuplicates(["node"])
+    sets = texts.mapInPandas(again, "node long, hashes array<long>")
+    unit = ["unit", "lo", "hi"]
+    links = units.join(sets, "node").repartition(*unit).sortWithinPartitions(*unit).mapInPandas(_alike_partition, "u long, v long")
+    groups = nodes.join(connected_components(links).withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
     alone = groups.where("component is null").select("first")
     grouped = groups.where("component is not null").groupBy("component").agg(F.min("first").alias("first")).select("first")
     kept = alone.union(grouped).select(F.col("first.mark").alias("__mark"), F.col("first.id").alias("__id"))

@@ -1,5 +1,6 @@
 """Operator 1 against brute force."""
 
+import random
 import re
 
 import numpy as np
@@ -76,3 +77,28 @@ def test_odd_rows(odd, none):
     kept = one_of_each(odd).collect()
     assert sorted(str(r["doc_id"]) for r in kept if r["doc_id"] in (1, 2, 3, 4, 7, None)) == ["1", "3", "None"]
     assert near_duplicates(none).count() == 0 and one_of_each(none).count() == 0
+
+
+def planted():
+    """Texts of 300 words, with copies in which one word in a hundred is changed, one in forty, and one in ten."""
+    rng, rows = random.Random(5), []
+    for i in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows.append((10 * i, " ".join(words)))
+        for k, step in enumerate((100, 40, 10), 1):
+            rows.append((10 * i + k, " ".join(f"x{i}" if j % step == step // 2 else w for j, w in enumerate(words))))
+    return rows
+
+
+@pytest.mark.parametrize("most", [1024, 3])
+def test_near_copies_of_similarity_four_fifths_go(spark, most):
+    rows = planted() + [(1000 + i, "a group of copies " * 20 + " ".join(f"c{j}" for j in range(200)) + f" end{i}") for i in range(30)]
+    sets = {k: {" ".join(w[j : j + 5]) for j in range(len(w) - 4)} for k, t in rows for w in [t.split()]}
+    group = {k: k for k in sets}
+    links = [(a, b) for a in sets for b in sets if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in range(4):
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(group.values()))
+    assert {10 * i + 1 for i in range(12)}.isdisjoint(r["doc_id"] for r in kept) and {10 * i + 3 for i in range(12)} <= {r["doc_id"] for r in kept}
