@@ -49,6 +49,12 @@ _PATTERNS = {
 }
 #: Numbers that begin like those of card issuers, by length.
 _ISSUED = re.compile(r"4\d{12}(?:\d{3})?(?:\d{3})?|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11}|35\d{14}|6(?:011|4[4-9]\d|5\d\d)\d{12}|(?:5018|5020|5038|6304|6759|676[1-3])\d{9,15}")
+#: Lengths of the IBANs of countries.
+IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in cs.split()}
 _ANY = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in _PATTERNS.items()))
 #: A text without any of these holds no entity.
 _HINT = re.compile(rf"[0-9@]|(?i:token|secret|passw|key)|{'|'.join(re.escape(t) for t in _GENDER)}")
@@ -100,6 +106,16 @@ def iban_holds(core: str) -> bool:
     return int("".join(str(int(c, 36)) for c in core[4:] + core[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int:
+    """Where the IBAN of a match ends, which may have run on into the next words: at the country's length; of other
+    countries and lengths at the longest one that holds. The match's own end if none does."""
+    ends = [i + 1 for i in range(start, end) if text[i] != " "]
+    whole = [n for n in range(len(ends), 11, -1) if ends[n - 1] == end or not (text[ends[n - 1]].isalnum() or text[ends[n - 1]] == "_")]
+    own = IBAN_LENGTHS.get(text[start : start + 2])
+    tried = whole if own is None else [n for n in (own, len(ends)) if n in whole]
+    return next((ends[n - 1] for n in tried if iban_holds(text[start : ends[n - 1]].replace(" ", ""))), end)
+
+
 def holds(kind: str, core: str) -> bool:
     """Whether an entity passes its kind's checks: a number that doesn't is not one, and stays."""
     if kind == "card":
@@ -214,12 +230,16 @@ def entities(text: str) -> Iterator[tuple[str, int, int, str]]:
     """(kind, start, end, core) of each entity of a text, in order."""
     if not _HINT.search(text):
         return
-    for m in _ANY.finditer(text):
+    at = 0
+    while m := _ANY.search(text, at):
         kind = next(k for k in _PATTERNS if m[f"k_{k}"] is not None)
         title = None
         start, end = m.span(f"k_{kind}")
+        at = start + 1  # a rejected match may hide an entity that begins inside it
         if kind == "secret":
             start, end = m.span("secret")
+        elif kind == "iban":
+            end = iban_end(text, start, end)
         elif kind == "person":
             start, end = m.span("person")
             title = m["title"]
@@ -233,6 +253,7 @@ def entities(text: str) -> Iterator[tuple[str, int, int, str]]:
         core = core_of(kind, text[start:end], title)
         if holds(kind, core):
             yield kind, start, end, core
+            at = end
 
 
 @lru_cache(1 << 16)

@@ -187,3 +187,14 @@ def test_private_data_goes_and_clean_texts_stay(spark, sf, odd, none):
     got = pii.pseudonymised(odd)
     assert sorted(str(r["text"]) for r in got.collect()) == sorted(str(r["text"]) for r in odd.collect()) and got.where(F.size("entities") > 0).count() == 0
     assert pii.pseudonymised(none).count() == 0
+
+
+@pytest.mark.parametrize(("text", "ibans"), [
+    ("An AT61 1904 3002 3457 3201 BIC OPSKATWW.", ["AT61 1904 3002 3457 3201"]), ("BE68 5390 0754 7034 EUR 500 und", ["BE68 5390 0754 7034"]),
+    ("ES91 2100 0418 4502 0005 1332 2024 USD", ["ES91 2100 0418 4502 0005 1332"]), ("SE45 5000 0000 0583 9825 7466", ["SE45 5000 0000 0583 9825 7466"]),
+    ("DE89 3704 0044 0532 0130 00 BIC", ["DE89 3704 0044 0532 0130 00"]), ("NO93 8601 1117 947 IBAN", ["NO93 8601 1117 947"]), ("AT611904300234573201 BIC", ["AT611904300234573201"]),
+    ("XX00 AT61 1904 3002 3457 3201 BIC", ["AT61 1904 3002 3457 3201"]), ("AT61 1904 3002 3457 3202 BIC", []),
+])
+def test_ibans_end_at_their_length(text, ibans):
+    assert [text[s:e] for kind, s, e, _ in pii.entities(text) if kind == "iban"] == ibans
+    assert not any(x in pii.replaced(text, b"k")[0] for x in ibans)
