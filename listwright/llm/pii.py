@@ -35,6 +35,10 @@ GIVEN = {
 VOWELS = set("aeiouyáéíóúàèìòùâêîôûäëïöüåæøœаеёиоуыэюяαεηιουωάέήίόύώ")
 ALPHABETS = {"LATIN": "abcdefghijklmnopqrstuvwxyz", "CYRILLIC": "абвгдежзиклмнопрстуфхцчшщэюя", "GREEK": "αβγδεζηθικλμνξοπρστυφχψω"}
 
+#: Words inside a name that stay as they are; those with a full stop are academic titles.
+PARTICLES = frozenset("von van vom zu zum zur de del della di da do dos das du des la le las los den der ten ter af av bin ibn el al st".split())
+ACADEMIC = frozenset(("dr.", "prof."))
+
 _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 _WORD = r"[^\W\d_]+(?:[-’'][^\W\d_]+)*"
 _PATTERNS = {
@@ -45,8 +49,9 @@ _PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w]|-\d)",
     "phone": r"(?<![\w.])(?:(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}|\+(?!1\D)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|[.-]\d)",
-    "person": rf"(?<!\w)(?P<title>{'|'.join(re.escape(t) for t in sorted(_GENDER, key=len, reverse=True))}) (?P<person>{_WORD}(?: {_WORD})?)",
+    "person": rf"(?<!\w)(?P<title>{'|'.join(re.escape(t) for t in sorted(_GENDER, key=len, reverse=True))}) (?=[^\W\d_])",
 }
+_NAME, _POSSESSIVE = re.compile(_WORD), re.compile(r"[’'][sS]$")
 #: Numbers that begin like those of card issuers, by length.
 _ISSUED = re.compile(r"4\d{12}(?:\d{3})?(?:\d{3})?|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11}|35\d{14}|6(?:011|4[4-9]\d|5\d\d)\d{12}|(?:5018|5020|5038|6304|6759|676[1-3])\d{9,15}")
 #: Lengths of the IBANs of countries.
@@ -168,13 +173,44 @@ def _iban(core: str, s: Stream, nonce: int, key: bytes) -> str:
     return f"{core[:2]}{98 - int(number) % 97:02d}{body}"
 
 
-def _person(core: str, s: Stream, nonce: int, key: bytes) -> str:
-    """core: the gender, a blank, the lower-cased names. A given name comes before a family name."""
+def _given(core: str, s: Stream, nonce: int, key: bytes) -> str:
+    """core: the gender, a blank, the lower-cased name. Later attempts join more names."""
+    gender, name = core.split(" ")
+    return f"{gender} " + "-".join(s.of(GIVEN[script_of(name[0]), gender]).lower() for _ in range(1 + nonce // 4))
+
+
+def _family(core: str, s: Stream, nonce: int, key: bytes) -> str:
+    return _like(core, s) + ("" if nonce < NARROW else _like(core[-2:], s))
+
+
+def _initial(core: str, s: Stream, nonce: int, key: bytes) -> str:
+    """Another letter for each letter of a script: the next one in an order that the key deals."""
+    letters = list(ALPHABETS.get(script_of(core[0]), ""))
+    if core[0] not in letters:
+        return _letter(core[0], s) + core[1:]
+    order, deal = [], Stream(key, "initials", script_of(core[0]))
+    while letters:
+        order.append(letters.pop(deal.below(len(letters))))
+    return order[order.index(core[0]) - 1] + core[1:]
+
+
+def parts_of(core: str) -> list[tuple[str, str]]:
+    """(kind, core) of each word of a person's core: given, family, initial, or as it stands (particle). A part's core is the
+    part alone, so that all mentions that have it agree."""
     gender, *names = core.split(" ")
-    out = [_like(n, s) for n in names]
-    if len(names) > 1 and (given := GIVEN.get((script_of(names[0][0]), gender))):
-        out[0] = Stream(key, "given", gender, names[0], str(nonce // 4)).of(given).lower()
-    return " ".join([gender, *(out if nonce < NARROW else [*out[:-1], out[-1] + _like(out[-1][-2:], s)])])
+    stay = [n in ACADEMIC or (n in PARTICLES and i + 1 < len(names)) for i, n in enumerate(names)]
+    proper = [i for i, n in enumerate(names) if not stay[i]]
+    out = []
+    for i, n in enumerate(names):
+        if stay[i]:
+            out.append(("particle", n))
+        elif len(n.rstrip(".")) == 1:
+            out.append(("initial", n))
+        elif i == proper[0] and (len(proper) > 1 or gender[1:]) and (script_of(n[0]), gender[0]) in GIVEN:
+            out.append(("given", f"{gender[0]} {n}"))
+        else:
+            out.append(("family", n))
+    return out
 
 
 def _secret(core: str, s: Stream, nonce: int, key: bytes) -> str:
@@ -184,7 +220,7 @@ def _secret(core: str, s: Stream, nonce: int, key: bytes) -> str:
     return _like(core, s)
 
 
-MAKERS: dict[str, Callable] = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone, "person": _person}
+MAKERS: dict[str, Callable] = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone, "given": _given, "family": _family, "initial": _initial}
 
 
 def core_of(kind: str, mention: str, title: str | None = None) -> str:
@@ -199,7 +235,7 @@ def core_of(kind: str, mention: str, title: str | None = None) -> str:
     if kind == "iban":
         return mention.replace(" ", "")
     if kind == "person":
-        return f"{_GENDER[title]} {mention.lower()}"
+        return f"{_GENDER[title]} {mention.lower()}"  # with a + behind the gender: a given name alone
     return mention
 
 
@@ -226,8 +262,40 @@ def dressed(kind: str, mention: str, core: str, new: str) -> str:
     return new
 
 
+def name_end(text: str, at: int) -> int:
+    """Where the name at a place ends: capitalised words, initials, and particles and academic titles before them; a
+    possessive ending is not part of it, and ends it. The place itself if there is no name."""
+    end = start = at
+    while m := _NAME.match(text, at):
+        word, at = m[0], m.end()
+        dot = text[at : at + 1] == "." and (len(word) == 1 or f"{word.lower()}." in ACADEMIC)
+        if (cut := _POSSESSIVE.search(word)) and word[0].isupper():
+            return m.start() + cut.start()
+        at += dot
+        if word[0].isupper() and not (dot and len(word) > 1):
+            end = at
+        elif not dot and word.lower() not in PARTICLES:
+            break
+        if text[at : at + 1] != " ":
+            break
+        at += 1
+    return end if end > start else start
+
+
 def entities(text: str) -> Iterator[tuple[str, int, int, str]]:
-    """(kind, start, end, core) of each entity of a text, in order."""
+    """(kind, start, end, core) of each entity of a text, in order. A single name is a given name if it is the first of
+    several in another mention with the same form of address, and the last of none."""
+    rows = list(_mentions(text))
+    names = [(core.split(" ")[0], parts_of(core)) for kind, _, _, core in rows if kind == "person"]
+    given = {c for _, parts in names for k, c in parts if k == "given"}
+    family = {c for _, parts in names if len(parts) > 1 for k, c in parts if k == "family"}
+    for kind, start, end, core in rows:
+        if kind == "person" and core in given and core[2:] not in family:
+            core = f"{core[0]}+{core[1:]}"
+        yield kind, start, end, core
+
+
+def _mentions(text: str) -> Iterator[tuple[str, int, int, str]]:
     if not _HINT.search(text):
         return
     at = 0
@@ -241,13 +309,10 @@ def entities(text: str) -> Iterator[tuple[str, int, int, str]]:
         elif kind == "iban":
             end = iban_end(text, start, end)
         elif kind == "person":
-            start, end = m.span("person")
-            title = m["title"]
-            names = [n for n in text[start:end].split(" ")]
-            if not names[0][0].isupper():
+            start, title = m.end(), m["title"]
+            end = name_end(text, start)
+            if start == end:
                 continue
-            if len(names) > 1 and not names[1][0].isupper():
-                end = start + len(names[0])
         elif kind == "phone" and not 7 <= len(_digits(text[start:end])) <= 15:
             continue
         core = core_of(kind, text[start:end], title)
@@ -261,11 +326,19 @@ def _cached(kind: str, core: str, nonce: int, key: bytes) -> str:
     return surrogate(kind, core, nonce, key)
 
 
+def _new(kind: str, core: str, nonces: dict[tuple[str, str], int], key: bytes) -> str:
+    """The surrogate of an entity; that of a person is made of its parts'."""
+    if kind != "person":
+        return _cached(kind, core, nonces.get((kind, core), 0), key)
+    parts = [c if k == "particle" else _cached(k, c, nonces.get((k, c), 0), key) for k, c in parts_of(core)]
+    return " ".join([core.split(" ")[0], *(x.rpartition(" ")[2] for x in parts)])
+
+
 def replaced(text: str, key: bytes, nonces: dict[tuple[str, str], int] | None = None) -> tuple[str, list[dict]]:
     """The text with surrogates, and where they stand: kind, start and length in the new text."""
     out, at, size, spans = [], 0, 0, []
     for kind, start, end, core in entities(text):
-        new = dressed(kind, text[start:end], core, _cached(kind, core, (nonces or {}).get((kind, core), 0), key))
+        new = dressed(kind, text[start:end], core, _new(kind, core, nonces or {}, key))
         out += [text[at:start], new]
         size += start - at
         spans.append({"kind": kind, "start": size, "length": len(new)})
@@ -274,11 +347,15 @@ def replaced(text: str, key: bytes, nonces: dict[tuple[str, str], int] | None =
 
 
 def found(docs: DataFrame, text: str) -> DataFrame:
-    """(h, kind, core) of the entities of texts, once for each hash h of a text, in a written table."""
+    """(h, kind, core) of the entities of texts, once for each hash h of a text, in a written table. Persons are given by
+    their given and family names; initials have one surrogate each and need no other attempt."""
+
+    def singly(kind: str, core: str) -> list[tuple[str, str]]:
+        return [p for p in parts_of(core) if p[0] in ("given", "family")] if kind == "person" else [(kind, core)]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = {(h, k, c) for h, t in zip(b["h"].tolist(), b["text"], strict=True) if isinstance(t, str) for k, _, _, c in entities(t)}
+            rows = {(h, *p) for h, t in zip(b["h"].tolist(), b["text"], strict=True) if isinstance(t, str) for k, _, _, c in entities(t) for p in singly(k, c)}
             yield pd.DataFrame(sorted(rows), columns=["h", "kind", "core"])
 
     col = F.col(f"`{text}`")

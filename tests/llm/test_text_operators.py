@@ -198,3 +198,30 @@ def test_private_data_goes_and_clean_texts_stay(spark, sf, odd, none):
 def test_ibans_end_at_their_length(text, ibans):
     assert [text[s:e] for kind, s, e, _ in pii.entities(text) if kind == "iban"] == ibans
     assert not any(x in pii.replaced(text, b"k")[0] for x in ibans)
+
+
+@pytest.mark.parametrize(("text", "names"), [
+    ("Mr. John Q. Smith came", ["John Q. Smith"]), ("Mr. John Q Smith came", ["John Q Smith"]), ("Frau Anna Maria Müller sagt", ["Anna Maria Müller"]),
+    ("Herr von Braun und Madame de Gaulle.", ["von Braun", "de Gaulle"]), ("Señora María de la Cruz, Frau Dr. Weber", ["María de la Cruz", "Dr. Weber"]),
+    ("Mr. Smith's Dog and Mr. O'Brien’s", ["Smith", "O'Brien"]), ("Mr. van der Berg and", ["van der Berg"]), ("Herr und Frau Meier", ["Meier"]), ("Mr. de facto", []), ("Frau Dr. med", []),
+])
+def test_whole_names_are_found(text, names):
+    assert [text[s:e] for kind, s, e, _ in pii.entities(text) if kind == "person"] == names
+    new = pii.replaced(text, b"k")[0]
+    assert not any(n.split()[-1] in new for n in names) and all(p in new.split() for n in names for p in n.split() if p in ("von", "de", "la", "der"))
+
+
+def test_partial_mentions_agree(spark):
+    text = "Mr. John Smith, Mr. Smith, Mr. Smith's hat, Mr. John Q. SMITH, Mr. John, Mrs. Smith and Herr von Smith."
+    new, spans = pii.replaced(text, b"k")
+    got = [new[s["start"] : s["start"] + s["length"]].split() for s in spans]
+    family, given = got[0][1], got[0][0]
+    assert got[1] == got[2] == got[5] == [family] and got[6] == ["von", family] and got[3] == [given, got[3][1], family.upper()] and got[4] == [given]
+    assert family != "Smith" and given in pii.GIVEN["LATIN", "m"] and f"{family}'s hat" in new and got[3][1] != "Q."
+
+
+def test_many_names_have_surrogates_of_their_own(spark):
+    names = [f"{a}{b}" for a in ("Bar", "Mol", "Ker", "Tan", "Ros", "Vil") for b in ("ta", "no", "ri", "lu", "ke", "so")]
+    docs = spark.createDataFrame([(i, f"Mr. {n} Li met Mr. {n}a. Then Mr. {n} Li left") for i, n in enumerate(names)], "doc_id long, text string")
+    texts = [r["text"].replace(".", "").split() for r in pii.pseudonymised(docs).collect()]
+    assert all(t[1:3] == t[8:10] for t in texts) and len({t[1] for t in texts}) == len({t[5] for t in texts}) == len(names) and len({t[2] for t in texts}) == 1
