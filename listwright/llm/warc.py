@@ -102,6 +102,11 @@ def _check(digest: str | None, data: bytes, what: str) -> None:
         raise Bad(f"{what} digest")
 
 
+def _digested(headers: dict[str, str]) -> bool:
+    kind, _, value = headers.get("WARC-Block-Digest", "").partition(":")
+    return kind in ("sha256", "sha1", "md5") and len(value) == 2 * hashlib.new(kind).digest_size
+
+
 def payload_of(headers: dict[str, str], block: bytes) -> bytes | None:
     """The HTTP body of a response; the block of other records that hold their payload; None for a revisit."""
     if headers.get("WARC-Type") == "revisit":
@@ -111,22 +116,61 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes | None:
     return block
 
 
-def _member_at(f: BinaryIO, at: int) -> tuple[bytes, int]:
-    """(content, length) of the gzip member at a place; its checksum and length must hold."""
+def _member_at(f: BinaryIO, at: int) -> tuple[bytes, int, str | None]:
+    """(content, length, problem) of the gzip member at a place; its checksum and length must hold. With a problem, the
+    content is what decompresses before it."""
     f.seek(at)
-    z, out, read = zlib.decompressobj(31), [], 0
-    while not z.eof:
+    z, out, read, problem = zlib.decompressobj(31), [], 0, None
+    while not z.eof and problem is None:
         chunk = f.read(CHUNK)
         if not chunk:
-            raise Bad("member ends early")
+            problem = "member ends early"
+            break
         read += len(chunk)
+        before = z.copy()
         try:
             out.append(z.decompress(chunk))
-        except zlib.error as e:
-            raise Bad("member is damaged") from e
-        if len(out) == 1 and len(out[0]) >= 5 and out[0][:5] != b"WARC/":
-            raise Bad("member holds no record")
-    return b"".join(out), read - len(z.unused_data)
+        except zlib.error:
+            problem = "member is damaged"
+            out.append(_until_damage(before, chunk))
+    return b"".join(out), read - len(z.unused_data), problem
+
+
+def _until_damage(z, chunk: bytes) -> bytes:
+    """What a chunk gives before it fails, by smaller and smaller steps."""
+    out, at, step = [], 0, 1 << 12
+    while step:
+        before = z.copy()
+        try:
+            out.append(z.decompress(chunk[at : at + step]))
+            at += step
+        except zlib.error:
+            z, step = before, step >> 4
+    return b"".join(out)
+
+
+def _inside(data: bytes, at: int, size: int, problem: str | None) -> Iterator[Found]:
+    """The records of a member's content, and a gap of length 0 for each stretch between that is none. The search goes on
+    at the next version line. In a damaged member only records whose digest holds are known to be whole."""
+    i, gap = 0, None
+    while i < len(data):
+        try:
+            headers, block, n = _record_in(lambda a, k: data[a : a + k], i, len(data))
+            if problem == "member is damaged" and not _digested(headers):
+                raise Bad("record without a digest in a damaged member")
+        except Bad as e:
+            gap = gap or str(e)
+            i = data.find(b"WARC/", i + 1)
+            if i < 0:
+                break
+            continue
+        if gap:
+            yield Found(at, 0, gap, {}, b"")
+            gap = None
+        yield Found(at, size, None, headers, block)
+        i += n
+    if gap and not problem:  # the rest of a member with a problem is in its own gap
+        yield Found(at, 0, gap, {}, b"")
 
 
 def _next_start(f: BinaryIO, at: int, end: int) -> int:
@@ -154,7 +198,9 @@ def salvage(f: BinaryIO, end: int) -> Iterator[Found]:
 
     Checked are members' checksums, heads, lengths and digests. After a failure the next member or version line that
     passes all checks goes on; the bytes before it are one gap, with the first problem met. Every byte of the archive
-    belongs to one record or gap (records of one member share the member's place). Memory: one record or member."""
+    belongs to one record or gap (records of one member share the member's place). Inside a member the search goes on at
+    the next version line; what is lost there is a gap of length 0 at the member's place. Of a damaged member the
+    records before the damage are kept, with length 0, since its bytes are a gap. Memory: one record or member."""
 
     def plain(at: int, n: int) -> bytes:
         f.seek(at)
@@ -165,14 +211,17 @@ def salvage(f: BinaryIO, end: int) -> Iterator[Found]:
         try:
             mark = plain(at, 5)
             if mark[:3] == b"\x1f\x8b\x08":
-                data, size = _member_at(f, at)
-                found, i = [], 0
-                while i < len(data):
-                    headers, block, n = _record_in(lambda a, k, data=data: data[a : a + k], i, len(data))
-                    found.append(Found(at, size, None, headers, block))
-                    i += n
-                if not found:
-                    raise Bad("member is empty")
+                data, size, trouble = _member_at(f, at)
+                found = list(_inside(data, at, 0 if trouble else size, trouble))
+                if trouble:
+                    if any(x.problem is None for x in found):
+                        if gap is not None:
+                            yield Found(gap, at - gap, problem, {}, b"")
+                        gap, problem = at, trouble
+                        yield from found
+                    raise Bad(trouble)
+                if not any(x.problem is None for x in found):
+                    raise Bad(found[0].problem if found else "member is empty")
             elif mark == b"WARC/":
                 headers, block, size = _record_in(plain, at, end)
                 found = [Found(at, size, None, headers, block)]

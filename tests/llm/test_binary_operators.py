@@ -105,6 +105,28 @@ def test_salvage(zipped):
     assert list(warc.salvage(io.BytesIO(b""), 0)) == [] and [x.problem is not None for x in warc.salvage(io.BytesIO(b"x" * 99), 99)] == [True]
 
 
+def test_salvage_inside_members():
+    recs = [warc.record(i, f"http://a/{i}", random.Random(i).randbytes(3000)) for i in range(9)]
+    ids = lambda data: [int(x.headers["X-Page-ID"]) for x in warc.salvage(io.BytesIO(data), len(data)) if not x.problem]
+    at = np.cumsum([0, *map(len, recs)])
+    broken = bytearray(b"".join(recs))
+    broken[at[4] - 90] ^= 1  # record 3's payload
+    data = warc.member(bytes(broken)) + warc.member(warc.record(9, "u", b"x"))
+    found = list(warc.salvage(io.BytesIO(data), len(data)))
+    assert ids(data) == [0, 1, 2, 4, 5, 6, 7, 8, 9] and [x.problem for x in found if x.problem] == ["block digest"]
+    whole = warc.member(b"".join(recs))
+    assert ids(whole[: len(whole) // 2]) == [0, 1, 2, 3] and ids(whole[:-3]) == list(range(9))
+    hurt = bytearray(whole)
+    hurt[-6] ^= 1  # the member's checksum
+    assert ids(bytes(hurt)) == list(range(9))
+    hurt = bytearray(whole + data)
+    hurt[len(whole) // 2] ^= 1
+    got = ids(bytes(hurt))
+    assert got[:4] == [0, 1, 2, 3] and got[-9:] == ids(data)
+    gaps = [x for x in warc.salvage(io.BytesIO(hurt), len(hurt)) if x.problem == "member is damaged"]
+    assert [(x.at, x.size) for x in gaps] == [(0, len(whole))]
+
+
 def test_media_query(spark, sf, odd, none):
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in QUERIES["op10_mpeg"](spark, sf).collect():
