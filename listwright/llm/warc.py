@@ -18,7 +18,7 @@ VERSION, DATE = "WARC/1.1", "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are never replaced by a revisit; bytes of an archive after which a task begins another.
 LEAST_REVISIT, ARCHIVE_BYTES = 100, 32 << 20
-CHUNK, LONGEST_HEAD = 1 << 20, 1 << 16
+CHUNK = 1 << 20
 
 
 class Bad(ValueError):
@@ -67,10 +67,12 @@ def member(data: bytes, level: int = 6) -> bytes:
 
 
 def _record_in(read, at: int, end: int) -> tuple[dict[str, str], bytes, int]:
-    """(headers, block, length) of the plain record at a place; read(at, n) gives up to n bytes."""
+    """(headers, block, length) of the plain record at a place; read(at, n) gives up to n bytes. A head may be of any length."""
     n = 1 << 12
     while (stop := (head := read(at, n)).find(b"\r\n\r\n")) < 0:
-        if len(head) < n or n >= LONGEST_HEAD:
+        if not head.startswith(b"WARC/"):
+            raise Bad("no version line")
+        if len(head) < n:
             raise Bad("record head does not end")
         n *= 4
     first, *lines = head[:stop].split(b"\r\n")
@@ -319,15 +321,25 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A revisit's length and digest are those its record states; a response's are taken from the payload."""
+    """A revisit's length and digest are those its record states; a response's are taken from the payload. Raises if a page
+    is not read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    back = read_archives(write_archives(pages, fresh_dir(spark, "warc"))).where("problem is null")
+    manifest = write_archives(pages, fresh_dir(spark, "warc"))
     stated = F.substring_index(F.col("headers")["WARC-Payload-Digest"], ":", -1)
-    return back.select(
+    back = written(read_archives(manifest).select(
         F.col("headers")["X-Page-ID"].cast("long").alias("page_id"), F.col("length").alias("payload_bytes"),
         F.coalesce(F.sha2("payload", 256), stated).alias("payload_digest"), F.col("headers")["WARC-Type"].alias("record_type"),
-        F.col("headers")["X-Refers-To-Page-ID"].cast("long").alias("refers_to"), F.col("headers")["WARC-Target-URI"].alias("url"),
-    )
+        F.col("headers")["X-Refers-To-Page-ID"].cast("long").alias("refers_to"), F.col("headers")["WARC-Target-URI"].alias("url"), "problem",
+    ), "warc-read")
+    whole(back, pages.count())
+    return back.drop("problem")
+
+
+def whole(back: DataFrame, pages: int) -> None:
+    """Raise unless what was read (problem) are the records of so many pages and no gap."""
+    n = back.agg(F.count(F.lit(1)).alias("rows"), F.count("problem").alias("gaps"), F.first("problem", ignorenulls=True).alias("first")).first()
+    if n["gaps"] or n["rows"] != pages:
+        raise RuntimeError(f"{pages} pages were written, {n['rows'] - n['gaps']} records and {n['gaps']} gaps were read; first problem: {n['first']}")
 
 
 #: What op4_warc must return, in DuckDB SQL over pages.

@@ -127,6 +127,20 @@ def test_salvage_inside_members():
     assert [(x.at, x.size) for x in gaps] == [(0, len(whole))]
 
 
+def test_heads_of_any_length(spark, tmp_path):
+    url = "http://a/" + "u" * 300_000
+    data = warc.record(1, url, b"x" * 200)
+    for archive in (data, warc.member(data)):
+        assert [(x.problem, x.headers["WARC-Target-URI"]) for x in warc.salvage(io.BytesIO(archive), len(archive))] == [(None, url)]
+    spark.createDataFrame([(1, url, "x" * 200), (2, "b", "y")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert {(r["page_id"], r["url"]) for r in warc.op4_warc(spark, str(tmp_path)).collect()} == {(1, url), (2, "b")}
+    back = spark.createDataFrame([(None,), ("block digest",)], "problem string")
+    warc.whole(back.where("problem is null"), 1)
+    for rows, pages in ((back, 2), (back.where("problem is null"), 2)):
+        with pytest.raises(RuntimeError):
+            warc.whole(rows, pages)
+
+
 def test_media_query(spark, sf, odd, none):
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in QUERIES["op10_mpeg"](spark, sf).collect():
