@@ -1,171 +1,151 @@
 """Token ids of whole texts by the tokenizers library, one pre-token at a time.
 
-Both vocabularies cut a text into pre-tokens before merging, and no pre-token holds white space but for leading blanks.
-So a text may be split at single blanks between other signs and each part encoded by itself: the ids are those of the
-whole text. Parts recur, and their ids are kept as bytes; a text then costs a split and a join."""
+Both vocabularies cut a text into pre-tokens before merging, and a pre-token begins at every single blank between other
+signs. So a text is split there, and the ids of a part are made once while they are remembered: a text then costs a split
+and a join. Parts of Latin signs are cut by the vocabulary's own pattern, written for Python's `re`, and merged by the
+tokenizer's model; the whole tokenizer encodes other parts, and any text that holds a special token's string."""
 
 from __future__ import annotations
 
 import os
+import re
 from functools import cache
-from struct import pack
+from operator import attrgetter
+from struct import Struct
 
 import numpy as np
-import regex
 
-#: Parts of a generation whose ids are kept (there are two), and the longest part that is.
-KEPT_PARTS, KEPT_LENGTH = 600_000, 48
+#: Bytes of remembered parts of a generation (there are two), the longest part that is remembered, and what an entry needs
+#: besides its signs and ids.
+KEPT_BYTES, KEPT_LENGTH, ENTRY = 44 << 20, 48, 140
 IDS = np.dtype("<u2")
+#: The last sign whose class Python, `re` and all versions of the patterns agree on for certain.
+LATIN = 0x24F
 
 
-# The patterns of pre-tokens of the two kinds of vocabulary.
-PATTERN_BYTES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PATTERN_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The last sign whose class all versions of the patterns agree on for certain.
-LATIN = "\u024f"
-#: Signs that Python's split() takes for white space and the vocabularies don't.
-_PYTHON_SPACE = "\x1c\x1d\x1e\x1f"
+def _signs(of) -> str:
+    return "".join(re.escape(chr(c)) for c in range(LATIN + 1) if of(chr(c)))
 
 
-class _Unsafe(Exception):
-    """A blank beside other white space: the text cannot be split there."""
+# Signs of the patterns' classes up to LATIN.
+_LETTERS, _NUMBERS, _SPACES = _signs(str.isalpha), _signs(lambda c: c.isalnum() and not c.isalpha()), _signs(str.isspace)
+_OTHERS = _signs(lambda c: not c.isalnum() and not c.isspace())
+# The patterns of pre-tokens of the two kinds of vocabulary.
+_CLITICS = "'s|'t|'re|'ve|'m|'ll|'d"
+PATTERN_BYTES = rf"{_CLITICS}| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[{_OTHERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+PATTERN_WORDS = rf"{_CLITICS}|[{_LETTERS}]+|[{_NUMBERS}]|[{_OTHERS}]+"
+#: Signs beyond LATIN; 1C to 1F, which Python takes for white space and the vocabularies don't; and a letter whose lower
+#: case has a sign beyond LATIN.
+_ODD = re.compile(f"[\x1c-\x1fİ{chr(LATIN + 1)}-\U0010ffff]").search
+_PYTHON_SPACE = re.compile("[\x1c-\x1f]").search
+#: A blank between other signs.
+_CUT = re.compile(r"(?<=\S) (?=\S)").split
+_ID, _BLANK = attrgetter("id"), chr(256 + 32)
+_PACK = [Struct(f"<{n}H").pack for n in range(256)]
 
 
 @cache
-def _byte_signs() -> dict[int, str]:
-    """The sign that stands for each byte in a byte-level vocabulary: itself if printable, else from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+def _byte_signs() -> dict[int, int]:
+    """The sign that stands for a byte in a vocabulary's words, where it is another: from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+class _Loose(Exception):
+    """A blank beside other white space: no pre-token begins there."""
+
+
+class _Kept(dict):
+    """Ids by part, in two generations of bounded bytes: when the young one is full it becomes the old one, and what recurs
+    comes back."""
+
+    def __init__(self, make):
+        self.make, self.old, self.size = make, {}, 0
+
+    def __missing__(self, part: str) -> bytes:
+        got = self.old.get(part)
+        if got is None:
+            got = self.make(part)
+        if len(part) <= KEPT_LENGTH:
+            self.size += ENTRY + 2 * len(part) + len(got)
+            if self.size > KEPT_BYTES:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self[part] = got
+        return got
 
 
 class Encoder:
-    """ids(text): the ids, as bytes of little-endian 16-bit numbers, of one tokenizer file."""
+    """ids(text): the ids, as bytes of little-endian 16-bit numbers, that one tokenizer file gives without special tokens
+    around them. A special token's string inside a text has that token's id, as the library has it, unless
+    special_as_text."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of 16 bits only")
         self.model = self.tokenizer.model
+        self.merged, self.signs = self.model.tokenize, _byte_signs()
         self.lowers = self.tokenizer.normalizer is not None
-        self.pattern = regex.compile(PATTERN_WORDS if self.lowers else PATTERN_BYTES)
-        self.starts: dict[str, bytes] = {}
-        self.short: dict[str, bytes] = {}
-        self.signs = [_byte_signs()[b] for b in range(256)]
-        self.parts = _Parts(self)
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, IDS).tobytes()
-
-    def word(self, word: str, blank: str) -> bytes:
-        """A pre-token by the model alone."""
-        if word.isascii() and word.isprintable():
-            line = (blank + word).replace(" ", self.signs[32])
-        else:
-            line = "".join(map(self.signs.__getitem__, (blank + word).encode()))
-        ids = [t.id for t in self.model.tokenize(line)]
-        return pack(f"<{len(ids)}H", *ids)
+        self.blank = "" if self.lowers else " "
+        self.specials = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.find = re.compile(PATTERN_WORDS if self.lowers else PATTERN_BYTES).findall
+        self.parts, self.marks = _Kept(self.part), _Kept(self.token)
 
     def ids(self, text: str) -> bytes:
+        if any(s in text for s in self.specials) or (self.lowers and _PYTHON_SPACE(text)):
+            return self.plain(text)
         if self.lowers:
-            if any(x in text for x in _PYTHON_SPACE):
-                return self.plain(text)
             return b"".join(map(self.parts.__getitem__, text.split()))
         first, *rest = text.split(" ")
-        if not first or not rest or first[-1].isspace():
-            return self._careful(text)
         try:
-            return self.start(first) + b"".join(map(self.parts.__getitem__, rest))
-        except _Unsafe:
-            return self._careful(text)
-
-    def start(self, part: str) -> bytes:
-        """The ids of a part at the start of a text or a line."""
-        got = self.starts.get(part)
-        if got is None:
-            got = self.pieces(part) if not self.lowers else self.made(part)
-            if len(self.starts) < KEPT_PARTS // 8 and len(part) <= KEPT_LENGTH:
-                self.starts[part] = got
-        return got
+            if rest and not first[-1:].strip():
+                raise _Loose
+            return self.free(first) + b"".join(map(self.parts.__getitem__, rest))
+        except _Loose:
+            first, *rest = _CUT(text)
+            return self.free(first) + b"".join([self.plain(" " + x) if x[-1].isspace() else self.parts[x] for x in rest])
 
-    def pieces(self, text: str) -> bytes:
-        """The ids of a short text: its pre-tokens by the vocabulary's own pattern, each by the model alone. Signs beyond
-        the Latin ones go by the tokenizer itself."""
-        if len(text) > KEPT_LENGTH or max(text) > LATIN or (not self.lowers and "<|" in text):
-            return self.plain(text)
-        out = []
-        for token in self.pattern.findall(text):
-            got = self.short.get(token)
-            if got is None:
-                got = self.word(token, "")
-                if len(token) <= 4 and len(self.short) < 1 << 16:
-                    self.short[token] = got
-            out.append(got)
-        return b"".join(out)
-
-    def made(self, part: str) -> bytes:
-        """The ids of a part that stands behind a blank (for a vocabulary that keeps blanks)."""
-        if self.lowers:
-            low = part.lower() if part.isascii() else self.tokenizer.normalizer.normalize_str(part)
-            if low.isalpha():
-                return self.word(low, "")
-            if low[-1:] in (".", ",") and low[:-1].isalpha() and low == part:
-                return self.parts[low[:-1]] + self.start(low[-1])
-            return self.pieces(low)
-        if not part or part[0].isspace() or part[-1].isspace():
-            raise _Unsafe
-        if part.isalpha():
-            return self.word(part, " ")
-        if part[-1] in ".," and part[:-1].isalpha():
-            return self.parts[part[:-1]] + self.start(part[-1])
-        left, line, right = part.partition("\n")
-        if line and left and right and not (left[-1].isspace() or right[0].isspace()):
-            return self.parts[left] + self.start("\n") + self.start(right)
-        return self.pieces(" " + part)
-
-    def _careful(self, text: str) -> bytes:
-        """As ids(), where blanks beside other white space stay within their part."""
-        out, held = [], ""
-        for i, part in enumerate(text.split(" ")):
-            if i and part and not part[0].isspace() and held and not held[-1].isspace():
-                out.append(held)
-                held = part
-            else:
-                held = f"{held} {part}" if i else part
-        out.append(held)
-        parts = [self.plain(out[0])]
-        for part in out[1:]:
-            safe = not part[-1].isspace()
-            parts.append(self.parts[part] if safe else self.plain(" " + part))
-        return b"".join(parts)
-
-
-class _Parts(dict):
-    """Ids by part, in two generations: when the young one is full it becomes the old one, and what recurs comes back."""
-
-    def __init__(self, encoder: Encoder):
-        self.encoder, self.old = encoder, {}
+    def plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, IDS).tobytes()
 
-    def __missing__(self, part: str) -> bytes:
-        got = self.old.get(part)
-        if got is None:
-            got = self.encoder.made(part)
-            if len(part) > KEPT_LENGTH:
-                return got
-        if len(self) >= KEPT_PARTS:
-            self.old = dict(self)
-            self.clear()
-        self[part] = got
-        return got
+    def free(self, text: str) -> bytes:
+        """The ids of a text that stands at the beginning."""
+        return self.plain(text) if _ODD(text) else b"".join(map(self.marks.__getitem__, self.find(text)))
+
+    def part(self, part: str) -> bytes:
+        """The ids of a part behind a blank. Parts that begin with the same word share its ids."""
+        plain = part.isascii() or not _ODD(part)
+        if plain and part.isalpha():
+            return self.token(self.blank + (part.lower() if self.lowers else part))
+        if not self.lowers and (not part or part[0].isspace() or part[-1].isspace()):
+            raise _Loose
+        if not plain or _PYTHON_SPACE(part):
+            return self.plain(self.blank + part)
+        if part[:-1].isalpha():
+            return self.parts[part[:-1]] + self.marks[part[-1]]
+        first, *rest = self.find(self.blank + (part.lower() if self.lowers else part))
+        word = first[1:] if self.blank else first
+        lead = self.parts[word] if rest and word.isalpha() else self.token(first)
+        return lead + b"".join(map(self.marks.__getitem__, rest))
+
+    def token(self, token: str) -> bytes:
+        """The ids of a pre-token by the model alone."""
+        if token.isascii() and token.isprintable():
+            line = token.replace(" ", _BLANK)
+        else:
+            line = token.encode().decode("latin-1").translate(self.signs)
+        ids = tuple(map(_ID, self.merged(line)))
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, IDS).tobytes()
 
 
 @cache
 def encoder(file: str) -> Encoder:
-    """One encoder a process: what it has kept serves all tasks of a worker."""
+    """One encoder a process: what it remembers serves all tasks of a worker."""
     return Encoder(file)
 
 

@@ -1,5 +1,6 @@
 """Operators 5, 6, 7 and 9: held-out accuracy, round trips, exact ids, surrogates."""
 
+import random
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from listwright.llm import langid, packing, pii, rans
+from listwright.llm import langid, packing, pii, rans, tokens
 from listwright.llm.common import fresh_dir
 from listwright.llm.tokens import IDS, Encoder, vocabulary
 
@@ -19,10 +20,21 @@ ODD_TEXTS = [
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_are_the_tokenizers(spark, sf, name):
-    e = Encoder(vocabulary(name))
-    texts = ODD_TEXTS + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    """Of a tokenizer as the library gives it, special tokens' strings inside texts too."""
+    e, plain, rng = Encoder(vocabulary(name)), Tokenizer.from_file(vocabulary(name)), random.Random(5)
+    signs = "ab C.,'s\n\t  é½²_-<|>1٣日\x1c\x85İß\u0301"
+    texts = ODD_TEXTS + ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(3000)] + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     for t in texts * 2:
-        assert np.frombuffer(e.ids(t), IDS).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t[:50])
+        assert np.frombuffer(e.ids(t), IDS).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t[:50])
+
+
+def test_special_strings_as_text_and_bounded_memory(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_BYTES", 20_000)
+    e, plain = Encoder(vocabulary("byte_bpe_50k.json"), special_as_text=True), Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    for t in [f"w{i} x<|endoftext|>y" for i in range(300)]:
+        assert np.frombuffer(e.ids(t), IDS).tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert e.parts.size <= 20_000 and 50256 in np.frombuffer(Encoder(vocabulary("byte_bpe_50k.json")).ids("a<|endoftext|>"), IDS)
 
 
 def test_blocks_of_the_numeral_system():
