@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.sources.shared import written
+from listwright.sources.shared import forgotten, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     state = _state(now)
     while state[0]:
-        now = written(_small_star(_large_star(now)), "stars")
+        last, now = now, written(_small_star(_large_star(now)), "stars")
+        forgotten(last)
         before, state = state, _state(now)
         if state == before:
             break
