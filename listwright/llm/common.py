@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from listwright.sources.shared import fresh_dir, shared_dir, shipped, written
+from listwright.sources.shared import dropped, fewer, forgotten, fresh_dir, shared_dir, shipped, written
 
-__all__ = ["buckets_for", "dropped", "free_name", "fresh_dir", "opened", "ranked", "shared_dir", "tune", "written"]
+__all__ = ["buckets_for", "dropped", "fewer", "forgotten", "free_name", "fresh_dir", "opened", "ranked", "shared_dir", "tune", "written"]
 
 #: Rows of one Arrow batch. Texts may be long, so batches are kept small.
 BATCH_ROWS = 512
@@ -21,13 +21,6 @@ def tune(spark: SparkSession) -> None:
     shipped(spark)
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a folder that an operator wrote and no longer needs, by Hadoop's file system."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def opened(path: str, mode: str):
     """A stream on a file of the shared folder, inside a Python worker, by the scheme of its URI."""
     from pyarrow import fs

@@ -7,22 +7,23 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from listwright.llm.common import dropped, fresh_dir, opened, tune, written
+from listwright.llm.common import dropped, fewer, fresh_dir, opened, tune, written
 from listwright.llm.tokens import IDS, encoder, vocabulary
 
 #: Frequencies sum to 2^SCALE; states lie in [2^LOW, 2^(LOW + 32)) and shed 32 bits at a time.
 SCALE, LOW = 20, 31
-#: Ids of a block, lanes that are interleaved in a full block, and ids of one file.
-BLOCK, LANES, FILE_IDS = 1 << 19, 4096, 1 << 24
-MAGIC, TABLE_MAGIC = b"LWRANS1\n", b"LWFREQ1\n"
-_HEAD = struct.Struct("<8sQIIII")  # magic, first id's place in the corpus, documents, blocks, crc of the table, crc of the directory
+#: Ids of a block, lanes that are interleaved in a full block, ids of one file, and blocks that one task of a reader decodes.
+BLOCK, LANES, FILE_IDS, UNIT_BLOCKS = 1 << 19, 4096, 1 << 24, 4
+MAGIC, TABLE_MAGIC = b"LWRANS2\n", b"LWFREQ1\n"
 _MARK = struct.Struct("<QQIIII")  # checkpoint: byte offset, first id in the file, ids, bytes, lanes, crc of the ids
+_TAIL = struct.Struct("<QIIIII8s")  # documents, blocks, bytes of the directory, its ids' width, crc of the table, crc of directory and checkpoints, magic
 
 
 class Damaged(ValueError):
@@ -114,59 +115,100 @@ def decode_block(data: bytes, n: int, lanes: int, table: Table) -> np.ndarray:
     return out
 
 
-def file_bytes(first: int, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray, table: Table, table_crc: int) -> bytes:
-    """A file: header, directory (keys with their ids' counts), checkpoints of the blocks, blocks."""
-    directory = zlib.compress(keys.astype("<i8").tobytes() + sizes.astype("<u8").tobytes())
-    marks, blocks, at = [], [], 0
-    for i in range(0, len(ids), BLOCK):
-        part = ids[i : i + BLOCK]
-        data, lanes = encode_block(part, table)
-        marks.append(_MARK.pack(at, i, len(part), len(data), lanes, zlib.crc32(part.astype("<u4").tobytes())))
-        blocks.append(data)
-        at += len(data)
-    index = b"".join(marks)
-    head = _HEAD.pack(MAGIC, first, len(keys), len(marks), table_crc, zlib.crc32(directory + index))
-    return b"".join((head, struct.pack("<I", len(directory)), directory, index, *blocks))
-
-
-def read_index(data: bytes, table_crc: int | None = None) -> tuple[int, np.ndarray, np.ndarray, list[tuple], int]:
-    """(first, keys, sizes, checkpoints, where the blocks begin) of a file's start."""
-    magic, first, n, blocks, crc, own = _HEAD.unpack_from(data)
-    if magic != MAGIC or table_crc not in (None, crc):
-        raise Damaged("header, or another frequency table")
-    (length,) = struct.unpack_from("<I", data, _HEAD.size)
-    at = _HEAD.size + 4
-    end = at + length + blocks * _MARK.size
-    if zlib.crc32(data[at:end]) != own:
-        raise Damaged("directory")
-    directory = zlib.decompress(data[at : at + length])
-    keys, sizes = np.frombuffer(directory, "<i8", n), np.frombuffer(directory, "<u8", n, 8 * n)
-    return first, keys, sizes, [_MARK.unpack_from(data, at + length + i * _MARK.size) for i in range(blocks)], end
-
-
-def read_block(data: bytes, marks: list[tuple], begin: int, i: int, table: Table) -> np.ndarray:
-    """Block i of a file, by its checkpoint alone."""
-    at, _, n, size, lanes, crc = marks[i]
-    ids = decode_block(data[begin + at : begin + at + size], n, lanes, table)
-    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
-        raise Damaged(f"block {i}")
-    return ids
-
-
-def read_file(data: bytes, table: Table, table_crc: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(key, place of the first id in the corpus, ids) of each document, in order; one block is held at a time."""
-    first, keys, sizes, marks, begin = read_index(data, table_crc)
-    held, block, at = np.zeros(0, np.uint32), 0, first
-    for key, size in zip(keys.tolist(), sizes.tolist(), strict=True):
-        while len(held) < size:
-            if block == len(marks):
-                raise Damaged("fewer ids than the directory says")
-            held = np.concatenate((held, read_block(data, marks, begin, block, table)))
-            block += 1
-        yield key, at, held[:size]
-        held, at = held[size:], at + size
-    if len(held) or block != len(marks):
-        raise Damaged("more ids than the directory says")
+class Writer:
+    """A file: magic, blocks, directory (keys with their ids' counts), checkpoints of the blocks, tail. Blocks go out as they
+    fill, so a writer holds a block and the documents that are put in, whatever the file's size."""
+
+    def __init__(self, out: BinaryIO, table: Table, table_crc: int):
+        self.out, self.table, self.table_crc = out, table, table_crc
+        self.held, self.waiting, self.ids, self.at = [], 0, 0, len(MAGIC)
+        self.keys, self.sizes, self.marks = [], [], []
+        out.write(MAGIC)
+
+    def put(self, key: int, ids: bytes) -> None:
+        """A document's ids, one at least, as little-endian 16-bit numbers."""
+        if not ids:
+            raise ValueError("a document without ids")
+        self.keys.append(key)
+        self.sizes.append(len(ids) // 2)
+        self.held.append(ids)
+        self.waiting += len(ids) // 2
+        if self.waiting >= BLOCK:
+            rest = np.frombuffer(b"".join(self.held), IDS)
+            whole = len(rest) // BLOCK * BLOCK
+            for i in range(0, whole, BLOCK):
+                self._block(rest[i : i + BLOCK])
+            self.held, self.waiting = [rest[whole:].tobytes()], len(rest) - whole
+
+    def _block(self, ids: np.ndarray) -> None:
+        data, lanes = encode_block(ids, self.table)
+        self.marks.append(_MARK.pack(self.at, self.ids, len(ids), len(data), lanes, zlib.crc32(ids.astype("<u4").tobytes())))
+        self.out.write(data)
+        self.at, self.ids = self.at + len(data), self.ids + len(ids)
+
+    def close(self) -> tuple[int, int, int, int]:
+        """(documents, ids, blocks, bytes) of the file."""
+        if self.waiting:
+            self._block(np.frombuffer(b"".join(self.held), IDS))
+        directory = zlib.compress(np.array(self.keys, "<i8").tobytes() + np.array(self.sizes, "<u8").tobytes())
+        index = directory + b"".join(self.marks)
+        tail = _TAIL.pack(len(self.keys), len(self.marks), len(directory), IDS.itemsize, self.table_crc, zlib.crc32(index), MAGIC)
+        self.out.write(index + tail)
+        self.out.close()
+        return len(self.keys), self.ids, len(self.marks), self.at + len(index) + len(tail)
+
+
+class Reader:
+    """Any block of a file by its checkpoint alone, and any document by the directory."""
+
+    def __init__(self, f: BinaryIO, size: int, table: Table, table_crc: int | None = None):
+        self.f, self.table = f, table
+        if size < len(MAGIC) + _TAIL.size:
+            raise Damaged("file is too short")
+        n, blocks, length, width, crc, own, magic = _TAIL.unpack(self._bytes(size - _TAIL.size, _TAIL.size))
+        begin = size - _TAIL.size - length - blocks * _MARK.size
+        if magic != MAGIC or width != IDS.itemsize or begin < len(MAGIC) or table_crc not in (None, crc):
+            raise Damaged("tail, or another frequency table")
+        index = self._bytes(begin, length + blocks * _MARK.size)
+        if zlib.crc32(index) != own:
+            raise Damaged("directory")
+        plain = zlib.decompress(index[:length])
+        self.keys, self.sizes = np.frombuffer(plain, "<i8", n), np.frombuffer(plain, "<u8", n, 8 * n).astype(np.int64)
+        self.marks = [_MARK.unpack_from(index, length + i * _MARK.size) for i in range(blocks)]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        if int(self.sizes.sum()) != sum(m[2] for m in self.marks):
+            raise Damaged("directory and checkpoints differ")
+
+    def _bytes(self, at: int, n: int) -> bytes:
+        self.f.seek(at)
+        return self.f.read(n)
+
+    def block(self, i: int) -> np.ndarray:
+        at, _, n, size, lanes, crc = self.marks[i]
+        ids = decode_block(self._bytes(at, size), n, lanes, self.table)
+        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+            raise Damaged(f"block {i}")
+        return ids
+
+    def documents(self, first: int, blocks: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(key, place of the first id in the file, ids) of the documents that begin in `blocks` blocks from the first-th on.
+        Held are one block and one document."""
+        if first >= len(self.marks):
+            return
+        now, at = first, self.marks[first][1]
+        end = self.marks[first + blocks][1] if first + blocks < len(self.marks) else at + sum(m[2] for m in self.marks[first:])
+        lo, hi = np.searchsorted(self.starts, (at, end))
+        held = self.block(now)
+        for key, size, start in zip(self.keys[lo:hi].tolist(), self.sizes[lo:hi].tolist(), self.starts[lo:hi].tolist(), strict=True):
+            held, at = held[start - at :], start
+            parts, have = [held], len(held)
+            while have < size:
+                now += 1
+                parts.append(self.block(now))
+                have += len(parts[-1])
+            if len(parts) > 1:
+                held = np.concatenate(parts)
+            yield key, start, held[:size]
 
 
 @cache
@@ -177,84 +219,87 @@ def _table(path: str) -> tuple[Table, int]:
 
 
 def tokenized(docs: DataFrame, path: str, key: str, text: str, file: str, end: int) -> DataFrame:
-    """(part, place, key, ids, n) in a table written to path: docs dealt out by ranges of the key and sorted in each (ties by
-    text), ids of each text and the end id as bytes, and place, the ids of the part before it."""
+    """(none, key, ids, n, turn, counts) in a table written to path: the ids of each text and the end id as bytes, made where
+    the texts are read; none tells a null key, turn tells equal rows apart. A row of counts alone, the last of each
+    task that saw a document, holds how often the task's documents have each id."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode, last, place, part = encoder(file).ids, np.array([end], IDS).tobytes(), 0, TaskContext.get().partitionId()
+        encode, last, turn, counts = encoder(file).ids, np.array([end], IDS).tobytes(), TaskContext.get().partitionId() << 40, None
         for b in batches:
             ids = [(encode(t) if isinstance(t, str) else b"") + last for t in b["text"]]
-            n = np.array([len(x) // 2 for x in ids], np.int64)
-            yield pd.DataFrame({"part": part, "place": place + np.cumsum(n) - n, "key": b["key"], "none": b["none"], "ids": ids, "n": n})
-            place += int(n.sum())
+            if ids:
+                found = np.bincount(np.frombuffer(b"".join(ids), IDS), minlength=1 << 16)
+                counts = found if counts is None else counts + found
+            yield pd.DataFrame({"none": b["none"], "key": b["key"], "ids": ids, "n": np.array([len(x) // 2 for x in ids], np.int64), "turn": turn + np.arange(len(ids)), "counts": None})
+            turn += len(ids)
+        if counts is not None:
+            yield pd.DataFrame({"none": [False], "key": [0], "ids": [None], "n": [0], "turn": [0], "counts": [counts.astype("<i8").tobytes()]})
 
     at = F.col(f"`{key}`").cast("long")
     rows = docs.select(F.coalesce(at, F.lit(0)).alias("key"), at.isNull().alias("none"), F.col(f"`{text}`").alias("text"))
-    rows = rows.repartitionByRange(F.col("none").desc(), F.col("key")).sortWithinPartitions(F.col("none").desc(), "key", "text")
-    shape = "part int, place long, key long, none boolean, ids binary, n long"
-    rows.mapInPandas(each, shape).write.option("compression", "zstd").parquet(path)
+    shape = "none boolean, key long, ids binary, n long, turn long, counts binary"
+    fewer(rows.mapInPandas(each, shape)).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(shape).parquet(path)
 
 
 def write_files(docs: DataFrame, path: str, file: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode the ids of all texts, in ascending order of the key, into files below path; returns their manifest (path,
-    first, docs, n, bytes), itself a written table.
+    first, docs, n, blocks, bytes), itself a written table. first is the place of a file's first id in the corpus.
 
-    Frequencies are counted over all ids and shared by all files. Every task writes files under names of its own and
-    the manifest lists those of the tasks that ended well, so a lost executor leaves at worst files that nobody reads.
+    Frequencies are counted over all ids and shared by all files. The ids, not the texts, are sorted by ranges of (key,
+    hash of the ids, row), so a key that repeats is dealt to many tasks. Every task writes files under names of its own
+    and the manifest lists those of the tasks that ended well, so a lost executor leaves at worst files that nobody reads.
     A null text is an end id alone; a null key comes first, as key 0 (the format's keys are numbers). Repeated keys stay
-    separate, ordered by text. No documents: a manifest without rows."""
+    separate, in the order of a hash of their ids. No documents: a manifest without rows."""
     spark = docs.sparkSession
     tune(spark)
     ids_path = fresh_dir(spark, "ids")
-    ids = tokenized(docs, ids_path, key, text, file, end)
+    rows = tokenized(docs, ids_path, key, text, file, end)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(1 << 16, np.int64)
         for b in batches:
-            sums += np.bincount(np.frombuffer(b"".join(b["ids"]), IDS), minlength=1 << 16)
+            for x in b["counts"]:
+                sums += np.frombuffer(x, "<i8")
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"id": at, "n": sums[at]})
 
-    found = ids.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.where("counts is not null").select("counts").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(max([end, *found["id"]]) + 1, np.int64)
     counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     table_path = f"{path}/table.freq"
     packed = Table(frequencies(counts)).packed()
     spark.createDataFrame([(bytearray(packed),)], "data binary").coalesce(1).mapInPandas(_putter(table_path), "size long").collect()
 
-    parts = ids.groupBy("part").agg(F.sum("n").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = {r["part"]: r["base"] for r in parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).collect()}
-
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, crc = _table(table_path)
-        held: list[tuple] = []
-
-        def flush() -> pd.DataFrame:
-            first = bases[held[0][0]] + held[0][1]
-            data = file_bytes(first, np.array([x[2] for x in held]), np.array([x[4] for x in held]), np.frombuffer(b"".join(x[3] for x in held), IDS), table, crc)
-            name = f"{path}/{first:020d}-{uuid.uuid4().hex}.rans"
-            with opened(name, "w") as f:
-                f.write(data)
-            return pd.DataFrame({"path": [name], "first": [first], "docs": [len(held)], "n": [sum(x[4] for x in held)], "bytes": [len(data)]})
-
-        size = 0
+        from pyspark import TaskContext
+
+        part, turn, writer, name = TaskContext.get().partitionId(), 0, None, ""
+
+        def over() -> pd.DataFrame:
+            docs, n, blocks, size = writer.close()
+            return pd.DataFrame({"part": [part], "turn": [turn], "path": [name], "docs": [docs], "n": [n], "blocks": [blocks], "bytes": [size]})
+
         for b in batches:
-            for row in zip(b["part"], b["place"], b["key"], b["ids"], b["n"], strict=True):
-                if held and (size >= FILE_IDS or row[0] != held[0][0] or row[1] != held[-1][1] + held[-1][4]):
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += row[4]
-        if held:
-            yield flush()
-
-    manifest = written(ids.select("part", "place", "key", "ids", "n").mapInPandas(encode, "path string, first long, docs long, n long, bytes long"), "rans-manifest")
+            for k, ids in zip(b["key"].tolist(), b["ids"], strict=True):
+                if writer is None:
+                    name = f"{path}/{uuid.uuid4().hex}.rans"
+                    writer = Writer(opened(name, "w"), *_table(table_path))
+                writer.put(k, ids)
+                if writer.ids + writer.waiting >= FILE_IDS:
+                    yield over()
+                    writer, turn = None, turn + 1
+        if writer is not None:
+            yield over()
+
+    order = [F.col("none").desc(), F.col("key"), F.xxhash64("ids"), F.col("turn")]
+    ranges = rows.where("counts is null").select("none", "key", "ids", "turn").repartitionByRange(*order).sortWithinPartitions(*order)
+    files = written(ranges.select("key", "ids").mapInPandas(encode, "part int, turn int, path string, docs long, n long, blocks int, bytes long"), "rans-files")
     dropped(spark, ids_path)
-    return manifest
+    before = Window.orderBy("part", "turn").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    return files.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), "docs", "n", "blocks", "bytes")
 
 
 def _putter(path: str):
@@ -269,32 +314,34 @@ def _putter(path: str):
 
 
 def read_files(manifest: DataFrame, path: str) -> DataFrame:
-    """(key, start, ids as little-endian 32-bit numbers) of every document in the manifest's files, a file a task."""
-    files = max(1, manifest.count())
+    """(key, start, ids as little-endian 32-bit numbers) of every document in the manifest's files. A task decodes up to
+    UNIT_BLOCKS blocks of a file, from their checkpoints, and the documents that begin in them."""
     table_path = f"{path}/table.freq"
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name in b["path"]:
-                table, crc = _table(table_path)
+            for name, size, base, begin in zip(b["path"], b["bytes"], b["first"], b["begin"], strict=True):
                 with opened(name, "r") as f:
-                    data = f.read()
-                held = []
-                for key, at, ids in read_file(data, table, crc):
-                    held.append((key, at, ids.astype("<u4").tobytes()))
-                    if len(held) == 256:
+                    held, n = [], 0
+                    for key, at, ids in Reader(f, int(size), *_table(table_path)).documents(int(begin), UNIT_BLOCKS):
+                        held.append((key, base + at, ids.astype("<u4").tobytes()))
+                        n += len(ids)
+                        if len(held) == 256 or n >= BLOCK:
+                            yield pd.DataFrame(held, columns=["key", "start", "ids"])
+                            held, n = [], 0
+                    if held:
                         yield pd.DataFrame(held, columns=["key", "start", "ids"])
-                        held = []
-                if held:
-                    yield pd.DataFrame(held, columns=["key", "start", "ids"])
 
-    spread = manifest.select("path").repartition(min(files, 4096), "path")
-    return spread.mapInPandas(each, "key long, start long, ids binary")
+    units = manifest.select("path", "bytes", "first", F.explode(F.expr(f"sequence(0, greatest(blocks, 1) - 1, {UNIT_BLOCKS})")).alias("begin"))
+    parts = manifest.agg(F.sum(F.ceil(F.col("blocks") / UNIT_BLOCKS))).first()[0] or 1
+    return units.repartition(min(int(parts), 65536), "path", "begin").mapInPandas(each, "key long, start long, ids binary")
 
 
 def op6_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document, read back from the files. Null texts are the end id alone; repeated ids of documents stay
+    separate rows, a null one reads back as 0; no documents give no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = fresh_dir(spark, "rans")
     manifest = write_files(docs, path, vocabulary("byte_bpe_50k.json"), 2)
     back = read_files(manifest, path)
-    return back.select(F.col("key").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return fewer(back.select(F.col("key").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")))

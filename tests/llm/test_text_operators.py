@@ -1,5 +1,6 @@
 """Operators 5, 6, 7 and 9: held-out accuracy, round trips, exact ids, surrogates."""
 
+import io
 import random
 import zlib
 
@@ -52,14 +53,22 @@ def test_blocks_of_the_numeral_system():
 def test_file_checkpoints_and_checksums():
     ids = np.random.default_rng(2).integers(0, 300, 1_200_000).astype(np.uint16)
     table = rans.Table(rans.frequencies(np.bincount(ids)))
-    keys, sizes = np.array([3, 5, 9]), np.array([700_000, 1, 499_999])
-    data = rans.file_bytes(11, keys, sizes, ids, table, 7)
-    assert [(k, a, len(x)) for k, a, x in rans.read_file(data, table, 7)] == [(3, 11, 700_000), (5, 700_011, 1), (9, 700_012, 499_999)]
-    _, _, _, marks, begin = rans.read_index(data, 7)
-    assert (rans.read_block(data, marks, begin, 2, table) == ids[2 * rans.BLOCK :]).all()
-    for broken, crc in ((data, 8), (data[:60] + bytes([data[60] ^ 1]) + data[61:], 7), (data[:-9] + bytes([data[-9] ^ 1]) + data[-8:], 7)):
+    sizes, out = {3: 700_000, 5: 1, 9: 499_998, 4: 1}, io.BytesIO()
+    out.close, writer, at = lambda: None, rans.Writer(out, table, 7), 0
+    for k, n in sizes.items():
+        writer.put(k, ids[at : at + n].tobytes())
+        at += n
+    assert writer.close()[:3] == (4, 1_200_000, 3)
+    data = out.getvalue()
+    read = lambda x, crc=7: rans.Reader(io.BytesIO(x), len(x), table, crc)
+    docs = [(3, 0, 700_000), (5, 700_000, 1), (9, 700_001, 499_998), (4, 1_199_999, 1)]
+    for step in (1, 2, 9):
+        got = [d for i in range(0, 3, step) for d in read(data).documents(i, step)]
+        assert [(k, a, len(x)) for k, a, x in got] == docs and (np.concatenate([x for _, _, x in got]) == ids).all()
+    assert (read(data).block(2) == ids[2 * rans.BLOCK :]).all() and [k for k, _, _ in read(data).documents(1, 1)] == [5, 9]
+    for broken, crc in ((data, 8), (data[:-60] + bytes([data[-60] ^ 1]) + data[-59:], 7), (data[:90] + bytes([data[90] ^ 1]) + data[91:], 7), (data[:-1], 7), (b"", 7)):
         with pytest.raises((rans.Damaged, zlib.error)):
-            list(rans.read_file(broken, table, crc))
+            list(read(broken, crc).documents(0, 3))
 
 
 def test_extreme_frequencies():
