@@ -92,26 +92,66 @@ def test_token_files(spark, sf, odd, none):
     assert rans.read_files(rans.write_files(none, path, vocabulary("byte_bpe_50k.json"), 2), path).count() == 0
 
 
-def test_sweeps_are_best_fit_decreasing():
+def best_fit_decreasing(lengths, cap):
+    bins = []
+    for x in sorted(map(int, lengths), reverse=True):
+        fits = [b for b in bins if b[0] >= x]
+        if fits:
+            min(fits)[0] -= x
+        else:
+            bins.append([cap - x])
+    return len(bins)
+
+
+def check_placed(where, offset, length, cap, start=()):
+    used = dict(enumerate(cap - g for g in start))
+    for s, o, x in sorted(zip(where.tolist(), offset.tolist(), length.tolist(), strict=True)):
+        if s >= 0:
+            assert used.get(s, 0) == o
+            used[s] = o + x
+    assert max(used.values(), default=0) <= cap
+    return len(used)
+
+
+def test_a_sweep_is_best_fit_decreasing():
     rng = np.random.default_rng(4)
-    for cap, lengths in ((16, rng.integers(1, 17, 400)), (4096, rng.integers(1, 4097, 300)), (10, [3] * 50 + [10] * 4 + [7])):
-        bins = []
-        for x in sorted(map(int, lengths), reverse=True):
-            fits = [b for b in bins if b[0] >= x]
-            if fits:
-                min(fits)[0] -= x
-            else:
-                bins.append([cap - x])
-        runs = {int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True), strict=True)}
-        plan = packing.sweeps(runs, cap)
-        used = {}
-        for length, _, n, each, first, at in plan.tolist():
-            for i in range(n):
-                s, o = first + i // each, at + i % each * length
-                assert used.get(s, 0) == o
-                used[s] = o + length
-        assert len(used) == len(bins) and max(used.values()) <= cap
-        assert {k: int(plan[plan[:, 0] == k, 2].sum()) for k in runs} == runs
+    for cap, lengths in ((16, rng.integers(1, 17, 400)), (4096, rng.integers(1, 4097, 300)), (10, np.array([3] * 50 + [10] * 4 + [7]))):
+        lengths = -np.sort(-lengths)
+        where, offset, rest = packing.placed(lengths, np.zeros(0, np.int64), cap, True)
+        assert check_placed(where, offset, lengths, cap) == best_fit_decreasing(lengths, cap) == len(rest)
+        assert rest.sum() == cap * len(rest) - lengths.sum()
+
+
+def test_least_sequences_and_gaps_first():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        cap = int(rng.integers(4, 40))
+        lengths = -np.sort(-rng.integers(1, cap + 1, int(rng.integers(1, 60))))
+        counts = {int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True), strict=True)}
+        least = packing.least_sequences(counts, cap)
+        assert -(-lengths.sum() // cap) <= least <= best_fit_decreasing(lengths, cap)
+        gap = np.sort(rng.integers(1, cap + 1, int(rng.integers(0, 9))))
+        where, offset, rest = packing.placed(lengths, gap, cap, False)
+        check_placed(where, offset, lengths, cap, gap.tolist())
+        assert (rest >= 0).all() and len(rest) - len(gap) <= least
+        for x in lengths[where < 0]:
+            assert not (rest >= x).any()  # what is left fits nowhere
+    assert packing.least_sequences({}, 8) == 0 and packing.least_sequences({5: 3, 3: 3}, 8) == 3 and packing.least_sequences({5: 3, 4: 1}, 8) == 4
+
+
+@pytest.mark.parametrize("most", [64, 700, 10_000])
+def test_supersteps(spark, most):
+    rng = np.random.default_rng(6)
+    lengths = np.concatenate((rng.integers(1, 61, 2500), np.full(900, 22)))  # a third of all pieces are alike, and three of them don't fit
+    rows = spark.createDataFrame([(i, 0, 0, int(x), i) for i, x in enumerate(lengths)], "key long, nth long, piece int, length int, start long")
+    got = packing.packed(rows, 60, most).collect()
+    assert sorted((r["key"], r["length"]) for r in got) == list(enumerate(lengths.tolist()))
+    by = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert by.get(r["sequence_id"], 0) == r["offset"]
+        by[r["sequence_id"]] = r["offset"] + r["length"]
+    best = best_fit_decreasing(lengths, 60)
+    assert max(by.values()) <= 60 and len(by) <= 1.03 * best and (most < 10_000 or len(by) == best)
 
 
 def check_packing(rows):
