@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm.common import fresh_dir, opened, tune, written
+from listwright.llm.common import fewer, forgotten, fresh_dir, opened, tune, written
 
 VERSION, DATE = "WARC/1.1", "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -249,7 +249,8 @@ def revisits(pages: DataFrame, key: str, html: str, least: int = LEAST_REVISIT)
     narrow = pages.select(F.col(f"`{key}`").alias("id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= least)
     narrow = written(narrow.select("id", "digest"), "warc-digests")
     first = narrow.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    return narrow.join(first, "digest").where("refers_to is not null and not (id <=> refers_to)").select("id", "digest", "refers_to").distinct()
+    found = narrow.join(first, "digest").where("refers_to is not null and not (id <=> refers_to)").select("id", "digest", "refers_to").distinct()
+    return written(found, "warc-revisits")  # its size is known then: Spark broadcasts it if small, else payloads are shuffled
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -262,8 +263,9 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     tune(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col(f"`{html}`"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{url}`").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    refs = revisits(pages, key, html).withColumnRenamed("id", "rid").withColumnRenamed("digest", "rdigest")
-    rows = rows.join(refs, (F.col("digest") == F.col("rdigest")) & F.col("id").eqNullSafe(F.col("rid")), "left").select("id", "url", "payload", "refers_to")
+    refs = revisits(pages, key, html)
+    known = refs.withColumnRenamed("id", "rid").withColumnRenamed("digest", "rdigest")
+    rows = rows.join(known, (F.col("digest") == F.col("rdigest")) & F.col("id").eqNullSafe(F.col("rid")), "left").select("id", "url", "payload", "refers_to")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, name, size, records = None, "", 0, 0
@@ -283,7 +285,9 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
             out.close()
             yield pd.DataFrame({"path": [name], "bytes": [size], "records": [records]})
 
-    return written(rows.mapInPandas(each, "path string, bytes long, records long"), "warc-manifest")
+    manifest = written(fewer(rows).mapInPandas(each, "path string, bytes long, records long"), "warc-manifest")
+    forgotten(refs)
+    return manifest
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -321,25 +325,30 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A revisit's length and digest are those its record states; a response's are taken from the payload. Raises if a page
-    is not read back."""
+    """A revisit's length and digest are those its record states; a response's are taken from the payload. What the reader
+    quarantines is logged beside the archives, and the query raises if there is any or a page is not read back. Null
+    html is an empty payload; repeated ids stay separate records; no pages give no rows."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    manifest = write_archives(pages, fresh_dir(spark, "warc"))
+    path = fresh_dir(spark, "warc")
+    manifest = write_archives(pages, path)
     stated = F.substring_index(F.col("headers")["WARC-Payload-Digest"], ":", -1)
     back = written(read_archives(manifest).select(
         F.col("headers")["X-Page-ID"].cast("long").alias("page_id"), F.col("length").alias("payload_bytes"),
         F.coalesce(F.sha2("payload", 256), stated).alias("payload_digest"), F.col("headers")["WARC-Type"].alias("record_type"),
-        F.col("headers")["X-Refers-To-Page-ID"].cast("long").alias("refers_to"), F.col("headers")["WARC-Target-URI"].alias("url"), "problem",
+        F.col("headers")["X-Refers-To-Page-ID"].cast("long").alias("refers_to"), F.col("headers")["WARC-Target-URI"].alias("url"), "problem", "path", "at", "size",
     ), "warc-read")
-    whole(back, pages.count())
-    return back.drop("problem")
-
-
-def whole(back: DataFrame, pages: int) -> None:
-    """Raise unless what was read (problem) are the records of so many pages and no gap."""
-    n = back.agg(F.count(F.lit(1)).alias("rows"), F.count("problem").alias("gaps"), F.first("problem", ignorenulls=True).alias("first")).first()
-    if n["gaps"] or n["rows"] != pages:
-        raise RuntimeError(f"{pages} pages were written, {n['rows'] - n['gaps']} records and {n['gaps']} gaps were read; first problem: {n['first']}")
+    whole(back, pages.count(), f"{path}/gaps")
+    return back.drop("problem", "path", "at", "size")
+
+
+def whole(back: DataFrame, records: int, log: str) -> None:
+    """Raise unless what was read (path, at, size, problem) are so many records and no gap. Gaps are written to the log, a
+    table of (path, at, size, problem), first."""
+    n = back.agg(F.count(F.lit(1)).alias("rows"), F.count("problem").alias("gaps")).first()
+    if n["gaps"]:
+        back.where("problem is not null").select("path", "at", "size", "problem").write.parquet(log)
+    if n["gaps"] or n["rows"] != records:
+        raise RuntimeError(f"{records} records were written, {n['rows'] - n['gaps']} and {n['gaps']} gaps were read; the gaps are listed in {log}")
 
 
 #: What op4_warc must return, in DuckDB SQL over pages.

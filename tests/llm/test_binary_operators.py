@@ -134,11 +134,12 @@ def test_heads_of_any_length(spark, tmp_path):
         assert [(x.problem, x.headers["WARC-Target-URI"]) for x in warc.salvage(io.BytesIO(archive), len(archive))] == [(None, url)]
     spark.createDataFrame([(1, url, "x" * 200), (2, "b", "y")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert {(r["page_id"], r["url"]) for r in warc.op4_warc(spark, str(tmp_path)).collect()} == {(1, url), (2, "b")}
-    back = spark.createDataFrame([(None,), ("block digest",)], "problem string")
-    warc.whole(back.where("problem is null"), 1)
-    for rows, pages in ((back, 2), (back.where("problem is null"), 2)):
+    back = spark.createDataFrame([("a", 0, 9, None), ("a", 9, 4, "block digest")], "path string, at long, size long, problem string")
+    warc.whole(back.where("problem is null"), 1, str(tmp_path / "none"))
+    for i, rows in enumerate((back, back.where("problem is null"))):
         with pytest.raises(RuntimeError):
-            warc.whole(rows, pages)
+            warc.whole(rows, 2, str(tmp_path / f"gaps{i}"))
+    assert spark.read.parquet(str(tmp_path / "gaps0")).collect() == [("a", 9, 4, "block digest")] and not (tmp_path / "gaps1").exists()
 
 
 def test_media_query(spark, sf, odd, none):
