@@ -33,13 +33,13 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 def fewer(df: DataFrame) -> DataFrame:
-    """df in up to MERGED times fewer partitions, but never fewer than two for each core, so that results much smaller than
+    """df in up to MERGED times fewer partitions, but never fewer than four for each core, so that results much smaller than
     what they are made of are not dealt into as many files. No shuffle. Adaptive plans, which have one, count as having
     the session's shuffle partitions; the others have those of their files."""
     spark, plan = df.sparkSession, df._jdf.queryExecution().executedPlan()
     adaptive = plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec"
     now = int(spark.conf.get("spark.sql.shuffle.partitions")) if adaptive else plan.execute().getNumPartitions()
-    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-now // MERGED)))
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-now // MERGED)))
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
