@@ -44,17 +44,19 @@ def buckets_for(rows: int) -> int:
     return max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
 
 
-def ranked(df: DataFrame, groups: list[str], hashed: Column, ties: list[Column], rows: int, name: str) -> DataFrame:
+def ranked(df: DataFrame, groups: list[str], hashed: Column, ties: list[Column], rows: int, name: str, facts: DataFrame | None = None) -> DataFrame:
     """df with the rank (long, from 0) of each row within its group, ordered by a hash.
 
     A window over (groups, bucket of the hash) ranks inside the bucket, and the sum of the counts of the group's earlier
-    buckets is added, so that a group with a third of all rows is still sorted by many tasks. The columns of groups must
-    hold no null. df is read twice: give a written table."""
+    buckets is added, so that a group with a third of all rows is still sorted by many tasks. facts, a row for each group,
+    adds its columns by the same join. The columns of groups must hold no null. df is read twice: give a written table."""
     n = buckets_for(rows)
     keyed = df.withColumn("__h", hashed).withColumn("__b", F.pmod(F.col("__h"), F.lit(n)).cast("int"))
     before = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     counts = keyed.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(*groups, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    if facts is not None:
+        offsets = offsets.join(facts, groups)
     inside = F.row_number().over(Window.partitionBy(*groups, "__b").orderBy("__h", *ties)) - 1
     out = keyed.withColumn("__i", inside).join(offsets, [*groups, "__b"])
     return out.withColumn(name, (F.col("__o") + F.col("__i")).cast("long")).drop("__h", "__b", "__i", "__o")

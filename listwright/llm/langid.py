@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm.common import tune
+from listwright.llm.common import fewer, free_name, tune
 
 #: Hashed n-gram features (a power of two), the longest n, and the bound on labelled rows per language that are learned from.
 FEATURE_BITS, LONGEST, TRAIN_ROWS = 15, 3, 1500
@@ -173,8 +173,9 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield out
 
     once = predict.asNondeterministic()  # else a filter on the prediction would have it made twice
-    seen = docs.select(*[F.col(f"`{c}`") for c in kept], once(F.col(f"`{text}`")).alias("__lang"))
-    return seen.select(*[F.col(f"`{c}`") for c in kept], "__lang.*")
+    told = free_name(docs, "told")
+    seen = docs.select(*[F.col(f"`{c}`") for c in kept], once(F.col(f"`{text}`")).alias(told))
+    return seen.select(*[F.col(f"`{c}`") for c in kept], f"{told}.*")
 
 
 def _remainder(key: str) -> Column:
@@ -188,6 +189,8 @@ def trained(docs: DataFrame) -> Model:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: null texts and texts without a letter are `und` with score 0; repeated ids stay separate
+    rows; a null id counts as held out; no documents give no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     found = identified(docs.withColumn("held_out", _remainder("doc_id") == 0), trained(docs))
-    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+    return fewer(found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous"))

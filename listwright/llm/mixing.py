@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from listwright.llm.common import free_name, ranked, written
+from listwright.llm.common import fewer, forgotten, free_name, ranked, written
 
 SEED = 8_128
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rates are fixed-point numbers with so many binary places, so that sums of rates are exact whatever their order.
 PLACES = 20
-#: A Newton run ends when each source's tokens are within this share of its target, or after ROUNDS.
-CLOSE, ROUNDS = 1e-10, 60
+#: A Newton run ends when each source's tokens are within CLOSE of its target, as a share of it; after ROUNDS, NEAR must do.
+CLOSE, NEAR, ROUNDS = 1e-10, 1e-6, 60
 
 
 def targets(sources: DataFrame, share: float, cap: float, weights: tuple[float, ...]) -> DataFrame:
@@ -64,10 +64,15 @@ def tilts(spread: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
         inside = (F.col("bend") > 0) & (newton >= F.col("lo")) & (newton <= F.col("hi"))
         off = F.when(F.col("full"), 0.0).otherwise(F.abs("over") / F.col("target"))
         moved = F.when(off < CLOSE, F.col("tilt")).when(inside, newton).otherwise(middle)
-        now = written(step.select("src", "target", "mean", "full", moved.alias("tilt"), "lo", "hi", off.alias("off")), "mix-tilt")
+        last, now = now, written(step.select("src", "target", "mean", "full", moved.alias("tilt"), "lo", "hi", off.alias("off")), "mix-tilt")
+        forgotten(last)
         worst = now.agg(F.max("off")).first()[0]
         if worst is None or worst < CLOSE:
             break
+    else:
+        if worst > NEAR:
+            raise RuntimeError(f"the dual did not converge: a source is off its target by {worst:.3g} of it")
+    forgotten(weighed)
     return now.select("src", "full", F.expr("round(tilt, 9)").alias("tilt"), "mean")
 
 
@@ -106,7 +111,7 @@ def mixed(
     before = Window.partitionBy("src").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     rates = rates.withColumn("c", F.coalesce(F.sum(F.col("q") * F.col("k")).over(before), F.lit(0)) + (one >> 1))
     rates = rates.join(sources.select("src", F.col("tokens").alias("source_size"), "target"), "src").select("src", "size", "q", "c", "source_size", "target")
-    out = ranked(base, ["src", "size"], F.col("shuffled"), [F.col("whole")], rows, "rank").join(rates, ["src", "size"])
+    out = ranked(base, ["src", "size"], F.col("shuffled"), [F.col("whole")], rows, "rank", rates)
     out = out.withColumn("copies", F.expr(f"int(((c + (rank + 1) * q) div {one}) - ((c + rank * q) div {one}))"))
     return out.select("row.*", "size", "source_size", "target", (F.col("q") / one).alias("rate"), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
@@ -119,5 +124,7 @@ def repeated(docs: DataFrame, copies: str = "copies") -> DataFrame:
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document, with the words that the mixture takes of it. Null texts have size 0 and give none; a null
+    source is one of its own, the last; repeated ids are separate documents; no documents give no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mixed(docs, carry_text=False).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate", "source")
+    return fewer(mixed(docs, carry_text=False).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate", "source"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm.common import tune, written
+from listwright.llm.common import fewer, tune, written
 
 UNIT = 64
 # Fixed values of the MPEG audio format: kbit/s by bitrate index (0 is free format, 15 is bad), Hz by rate index.
@@ -313,7 +313,8 @@ def parsed(media: DataFrame) -> DataFrame:
 
 
 def op10_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest is made beside the parser, so that neither payloads nor seek tables leave their task."""
+    """A row for each document. The digest is made beside the parser, so that neither payloads nor seek tables leave their
+    task. Null texts count as empty; repeated ids stay separate rows; no documents give no rows."""
     media = stored(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -329,4 +330,4 @@ def op10_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
             got.insert(0, "doc_id", b["key"].to_numpy())
             yield got
 
-    return media.mapInPandas(each, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return fewer(media).mapInPandas(each, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

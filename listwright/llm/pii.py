@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm.common import tune, written
+from listwright.llm.common import fewer, forgotten, tune, written
 
 #: The key of tests and of the registered query; production gives its own.
 KEY = b"listwright surrogates"
@@ -24,14 +24,18 @@ NARROW, ROUNDS = 8, 64
 DOMAINS = ("example.com", "example.net", "example.org")
 TITLES = {
     "m": ("Mr.", "Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr.", "Господин"),
-    "f": ("Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Sra.", "Srta.", "Госпожа"),
+    "f": ("Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Sra.", "Srta.", "Dra.", "Госпожа"),
+    "n": ("Dr.", "Prof.", "Doctor", "Professor"),
 }
+#: What may follow a form of address and is nobody's name.
+NOBODY = frozenset("america earth universe world pac-man kitty".split())
 GIVEN = {
     ("LATIN", "m"): ("Adrian", "Bernard", "Conrad", "Daniel", "Edgar", "Felix", "Gregor", "Hugo", "Ivan", "Julian", "Konstantin", "Leon", "Martin", "Norbert", "Oscar", "Paul", "Ruben", "Simon", "Tobias", "Victor"),
     ("LATIN", "f"): ("Adela", "Beatrice", "Clara", "Diana", "Elena", "Flora", "Gloria", "Helena", "Irene", "Julia", "Katarina", "Laura", "Marina", "Nadia", "Olivia", "Paula", "Rosa", "Silvia", "Teresa", "Vera"),
     ("CYRILLIC", "m"): ("Андрей", "Борис", "Виктор", "Григорий", "Денис", "Егор", "Захар", "Иван", "Кирилл", "Леонид", "Максим", "Николай", "Олег", "Павел", "Роман", "Сергей"),
     ("CYRILLIC", "f"): ("Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Ирина", "Ксения", "Лариса", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья"),
 }
+GIVEN |= {(script, "n"): GIVEN[script, "m"] + GIVEN[script, "f"] for script in ("LATIN", "CYRILLIC")}  # of titles that tell no gender
 VOWELS = set("aeiouyáéíóúàèìòùâêîôûäëïöüåæøœаеёиоуыэюяαεηιουωάέήίόύώ")
 ALPHABETS = {"LATIN": "abcdefghijklmnopqrstuvwxyz", "CYRILLIC": "абвгдежзиклмнопрстуфхцчшщэюя", "GREEK": "αβγδεζηθικλμνξοπρστυφχψω"}
 
@@ -39,10 +43,24 @@ ALPHABETS = {"LATIN": "abcdefghijklmnopqrstuvwxyz", "CYRILLIC": "абвгдеж
 PARTICLES = frozenset("von van vom zu zum zur de del della di da do dos das du des la le las los den der ten ter af av bin ibn el al st".split())
 ACADEMIC = frozenset(("dr.", "prof."))
 
+def _marks() -> str:
+    """Ranges of the combining signs of scripts that write vowels with them, for a class of signs."""
+    out, start = [], None
+    for c in range(0x300, 0x3100):
+        on = unicodedata.category(chr(c))[0] == "M"
+        if on and start is None:
+            start = c
+        elif not on and start is not None:
+            out.append(f"{chr(start)}-{chr(c - 1)}")
+            start = None
+    return "".join(out)
+
+
+_W = rf"\w{_marks()}"
 _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 _WORD = r"[^\W\d_]+(?:[-’'][^\W\d_]+)*"
 _PATTERNS = {
-    "email": r"(?<![\w.+-])[\w.+-]*\w@\w[\w-]*(?:\.[\w-]*\w)+",
+    "email": rf"(?<![{_W}.+-])[{_W}.+-]*[{_W}]@[{_W}][{_W}-]*(?:\.[{_W}-]*[{_W}])+",
     "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)(?P<secret>[A-Za-z0-9_\-+/.]{8,}={0,2})",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
@@ -86,14 +104,22 @@ def script_of(sign: str) -> str:
     return unicodedata.name(sign, "").partition(" ")[0]
 
 
+@lru_cache(1 << 14)
+def _choices(sign: str) -> str:
+    """The other letters of the same script and kind (vowel or consonant) as a lower-case letter; of scripts without an
+    alphabet here, those of its category nearby."""
+    if letters := ALPHABETS.get(script_of(sign)):
+        return "".join(x for x in letters if x != sign and (x in VOWELS) == (sign in VOWELS))
+    kind, at = (script_of(sign), unicodedata.category(sign)), ord(sign)
+    near = "".join(c for c in map(chr, range(max(0x80, at - 128), min(at + 129, 0x110000))) if c != sign and (script_of(c), unicodedata.category(c)) == kind)
+    return near or ALPHABETS["LATIN"]
+
+
 def _letter(sign: str, s: Stream) -> str:
-    """A letter of the same script, case and kind (vowel or consonant); signs of unknown scripts: of the same block."""
-    low = sign.lower()
-    letters = ALPHABETS.get(script_of(sign))
-    if letters is None:
-        return chr(ord(sign) - ord(sign) % 16 + s.below(16)) if ord(sign) > 0x2E80 else sign
-    got = s.of("".join(x for x in letters if (x in VOWELS) == (low in VOWELS)))
-    return got.upper() if sign != low else got
+    """Another letter of the same script, case and kind."""
+    low = sign.lower() if len(sign.lower()) == 1 else sign
+    got = s.of(_choices(low))
+    return got.upper() if sign != low and len(got.upper()) == 1 else got
 
 
 def _like(text: str, s: Stream) -> str:
@@ -127,6 +153,8 @@ def holds(kind: str, core: str) -> bool:
         return luhn(core) and _ISSUED.fullmatch(core) is not None
     if kind == "iban":
         return iban_holds(core)
+    if kind == "secret":  # a plain word behind "secret:" is none
+        return any(c.isdigit() for c in core) or any(c in "_-+/=" for c in core) or core[1:] not in (core[1:].lower(), core[1:].upper())
     if kind == "ssn":
         return core[:3] not in ("000", "666") and core[0] != "9" and core[3:5] != "00" and core[5:] != "0000"
     return True
@@ -284,8 +312,11 @@ def name_end(text: str, at: int) -> int:
 
 def entities(text: str) -> Iterator[tuple[str, int, int, str]]:
     """(kind, start, end, core) of each entity of a text, in order. A single name is a given name if it is the first of
-    several in another mention with the same form of address, and the last of none."""
+    several in another mention with the same form of address, and the last of none. A name of several words that a form
+    of address tells is found again without it, and so is its family name."""
     rows = list(_mentions(text))
+    if any(kind == "person" for kind, *_ in rows):
+        rows = sorted([*rows, *_repeats(text, rows)], key=lambda r: r[1])
     names = [(core.split(" ")[0], parts_of(core)) for kind, _, _, core in rows if kind == "person"]
     given = {c for _, parts in names for k, c in parts if k == "given"}
     family = {c for _, parts in names if len(parts) > 1 for k, c in parts if k == "family"}
@@ -295,6 +326,25 @@ def entities(text: str) -> Iterator[tuple[str, int, int, str]]:
         yield kind, start, end, core
 
 
+def _repeats(text: str, rows: list[tuple[str, int, int, str]]) -> Iterator[tuple[str, int, int, str]]:
+    """Mentions without a form of address of the persons in rows, outside what rows hold."""
+    known: dict[str, str] = {}
+    for kind, start, end, core in rows:
+        names, words = core.split(" "), text[start:end].split(" ")
+        if kind == "person" and len(names) > 2 and len(names) == len(words) + 1:
+            known.setdefault(" ".join(words), core)
+            if len(words[-1]) > 2:
+                known.setdefault(words[-1], f"{names[0]} {names[-1]}")
+    if not known:
+        return
+    taken, i = [(start, end) for _, start, end, _ in rows], 0
+    for m in re.finditer(rf"(?<!\w)(?:{'|'.join(re.escape(k) for k in sorted(known, key=len, reverse=True))})(?!\w)", text):
+        while i < len(taken) and taken[i][1] <= m.start():
+            i += 1
+        if i == len(taken) or m.end() <= taken[i][0]:
+            yield "person", m.start(), m.end(), known[m[0]]
+
+
 def _mentions(text: str) -> Iterator[tuple[str, int, int, str]]:
     if not _HINT.search(text):
         return
@@ -311,7 +361,7 @@ def _mentions(text: str) -> Iterator[tuple[str, int, int, str]]:
         elif kind == "person":
             start, title = m.end(), m["title"]
             end = name_end(text, start)
-            if start == end:
+            if start == end or text[start:end].lower() in NOBODY:
                 continue
         elif kind == "phone" and not 7 <= len(_digits(text[start:end])) <= 15:
             continue
@@ -366,25 +416,28 @@ def found(docs: DataFrame, text: str) -> DataFrame:
 def nonces(cores: DataFrame, key: bytes) -> DataFrame:
     """(kind, core, nonce) such that surrogates of one kind differ from each other and from all real entities.
 
-    Each round makes the surrogates of all entities, keeps the smallest core of those that share one, and gives the others,
-    and those whose surrogate is real, the next nonce. It ends when no nonce moves."""
+    Each round keeps the smallest core of those that share a surrogate, and gives the others, and those whose surrogate is
+    real, the next nonce, for which theirs alone are made again. It ends when no nonce moves."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(new=[surrogate(k, c, int(n), key) for k, c, n in zip(b["kind"], b["core"], b["nonce"], strict=True)])
 
-    now = written(cores.withColumn("nonce", F.lit(0)), "pii-cores")
+    made = lambda rows: rows.select("kind", "core", "nonce").mapInPandas(make, "kind string, core string, nonce int, new string")
+    now = written(made(cores.withColumn("nonce", F.lit(0))), "pii-made")
     real = now.select("kind", F.col("core").alias("new"), F.lit(1).alias("real"))
+    first = now
     for _ in range(ROUNDS):
-        made = written(now.mapInPandas(make, "kind string, core string, nonce int, new string"), "pii-made")
-        same = made.groupBy("kind", "new").agg(F.min(F.struct("nonce", "core")).alias("first"), F.count(F.lit(1)).alias("k"))
-        bad = same.join(real, ["kind", "new"], "left").where("k > 1 or real is not null")
-        moved = made.join(bad, ["kind", "new"], "left")
+        same = now.groupBy("kind", "new").agg(F.min(F.struct("nonce", "core")).alias("first"), F.count(F.lit(1)).alias("k"))
+        bad = same.join(real.hint("merge"), ["kind", "new"], "left").where("k > 1 or real is not null")
         move = F.col("k").isNotNull() & (F.col("real").isNotNull() | (F.col("first.core") != F.col("core")))
-        moved = written(moved.select("kind", "core", (F.col("nonce") + F.when(move, 1).otherwise(0)).alias("nonce"), F.coalesce(move, F.lit(False)).alias("moved")), "pii-cores")
-        now = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            return now
+        seen = now.join(bad.hint("merge"), ["kind", "new"], "left").select("kind", "core", "nonce", "new", F.coalesce(move, F.lit(False)).alias("moved"))
+        seen = written(seen, "pii-seen")
+        if seen.where("moved").isEmpty():
+            return seen.drop("moved")
+        again = made(seen.where("moved").withColumn("nonce", F.col("nonce") + 1))
+        last, now = now, written(seen.where("not moved").drop("moved").unionByName(again), "pii-made")
+        forgotten(seen, *([] if last is first else [last]))
     raise RuntimeError("more entities of a kind than surrogates of its form")
 
 
@@ -422,7 +475,15 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: bytes = KEY) -> Data
     return rows.select(*[F.col("new.text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in kept], F.col("new.entities").alias("entities"))
 
 
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key of surrogates, from the setting spark.listwright.surrogateKey; that of the tests where it is unset."""
+    named = spark.conf.get("spark.listwright.surrogateKey", None)
+    return named.encode() if named else KEY
+
+
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document with its new text, how many entities it holds and of which kinds. Null texts stay null and
+    hold none; repeated ids stay separate rows; no documents give no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = pseudonymised(docs)
-    return out.select("doc_id", "text", F.size("entities").alias("n_entities"), F.concat_ws(",", F.array_sort(F.array_distinct(F.col("entities.kind")))).alias("kinds"))
+    out = pseudonymised(docs, key=key_of(spark))
+    return fewer(out.select("doc_id", "text", F.size("entities").alias("n_entities"), F.concat_ws(",", F.array_sort(F.array_distinct(F.col("entities.kind")))).alias("kinds")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from listwright.llm.common import buckets_for, ranked, written
+from listwright.llm.common import buckets_for, fewer, ranked, written
 
 SEED = 20_240_229
 
@@ -32,7 +32,7 @@ def interleaved(docs: DataFrame, shards: int = 8, seed: int = SEED, key: str = "
     base = written(base, "interleave")
     rows = base.count()
     sizes = base.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    placed = ranked(base, ["stratum"], F.col("shuffled"), [F.col("whole")], rows, "rank").join(sizes, "stratum")
+    placed = ranked(base, ["stratum"], F.col("shuffled"), [F.col("whole")], rows, "rank", sizes)
     placed = placed.select("row", "stratum", ((F.col("rank") + 0.5) / F.col("n")).alias("at"), F.xxhash64(F.lit(seed), "stratum").alias("turn"))
     many = buckets_for(rows)
     placed = placed.withColumn("b", F.least(F.floor(F.col("at") * many), F.lit(many - 1)).cast("int"))
@@ -52,6 +52,6 @@ def op3_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         "doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
     )
-    return interleaved(docs).select(
+    return fewer(interleaved(docs).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source"
-    )
+    ))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm.common import free_name, tune, written
+from listwright.llm.common import fewer, free_name, tune, written
 from listwright.operators.graph import connected_components
 
 BITS, BUDGET, SEED, WORDS = 64, 4, 42, 4
@@ -365,12 +365,13 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most:
     rows = numbered.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(marked).alias("mark"))
     prints = rows.mapInPandas(each, f"id {ids}, mark long, node long, blocks array<long>")
     nodes = written(prints.groupBy("node").agg(F.min(pick).alias("first"), F.first("blocks").alias("blocks")), "alike-nodes")
-    shared = nodes.select("node", F.explode("blocks").alias("block")).groupBy("block").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
-    shared = written(shared.where(F.size("nodes") > 1).select("nodes").distinct(), "alike-blocks")
-    parts = F.ceil(F.size("nodes") / most).cast("int")
-    units = shared.select(F.xxhash64("nodes").alias("unit"), parts.alias("parts"), F.explode("nodes").alias("node"))
+    blocks = nodes.select("node", F.explode("blocks").alias("unit"))
+    members = [F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2)]]
+    shared = blocks.groupBy("unit").agg(*members).where("n > 1")
+    shared = shared.groupBy("n", "x1", "x2").agg(F.min("unit").alias("unit"))  # blocks of the same nodes: one of them
+    units = blocks.join(shared.select("unit", F.ceil(F.col("n") / most).cast("int").alias("parts")), "unit")
     units = units.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("mate", F.explode(F.expr("sequence(0, parts - 1)")))
-    units = units.select("unit", F.least("part", "mate").alias("lo"), F.greatest("part", "mate").alias("hi"), "node")
+    units = written(units.select("unit", F.least("part", "mate").alias("lo"), F.greatest("part", "mate").alias("hi"), "node"), "alike-units")
     texts = nodes.join(units.select("node").distinct(), "node").select("node", F.col("first.id").alias("__id"), F.col("first.mark").alias("__mark"))
     texts = rows.join(texts, (F.col("mark") == F.col("__mark")) & F.col("id").eqNullSafe(F.col("__id"))).select("node", "text").dropDuplicates(["node"])
     sets = texts.mapInPandas(again, "node long, hashes array<long>")
@@ -379,12 +380,15 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most:
     groups = nodes.join(connected_components(links).withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
     alone = groups.where("component is null").select("first")
     grouped = groups.where("component is not null").groupBy("component").agg(F.min("first").alias("first")).select("first")
-    kept = alone.union(grouped).select(F.col("first.mark").alias("__mark"), F.col("first.id").alias("__id"))
-    here = (F.col(marked) == F.col("__mark")) & F.col(f"`{key}`").eqNullSafe(F.col("__id"))
+    mark, id_ = free_name(numbered, "first_mark"), free_name(numbered, "first_id")
+    kept = alone.union(grouped).select(F.col("first.mark").alias(mark), F.col("first.id").alias(id_))
+    here = (F.col(marked) == F.col(mark)) & F.col(f"`{key}`").eqNullSafe(F.col(id_))
     return numbered.join(kept, here, "left_semi").dropDuplicates([marked, key]).drop(marked)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document with its fingerprint and the smallest id that links reach. Null and empty texts have
+    fingerprint 0; repeated ids stay separate rows; a null id names no component; no documents give no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fewer(found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))

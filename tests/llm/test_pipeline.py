@@ -1,8 +1,15 @@
 """The pipeline against a brute-force version of each stage."""
 
+import re
+from itertools import combinations
+
 import corpus_pipeline as c
 from listwright.llm import langid, pii
-from listwright.llm.simhash import fingerprint
+
+
+def shingles(text):
+    words = re.findall(rb"[^\x20\x09-\x0d]+", text.encode().lower())
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
 def test_stages(spark, sf, tmp_path):
@@ -20,14 +27,14 @@ def test_stages(spark, sf, tmp_path):
     assert {r["doc_id"] for r in after} == lettered and all(r["lang"] != langid.UNKNOWN for r in after)
 
     before, after, _ = seen["near_duplicates"]
-    prints = {r["doc_id"]: fingerprint(r["text"]) for r in before}
-    group = {d: d for d in prints}
-    for _ in prints:  # labels go along links until nothing moves
-        moved = {d: min(group[e] for e in prints if (prints[d] ^ prints[e]).bit_count() <= 4) for d in prints}
-        if moved == group:
-            break
-        group = moved
-    assert sorted(r["doc_id"] for r in after) == sorted(set(group.values()))
+    sets = {r["doc_id"]: shingles(r["text"]) for r in before}
+    group = {d: d for d in sets}
+    for d, e in combinations(sorted(sets), 2):
+        both = len(sets[d] & sets[e])
+        if group[d] != group[e] and 5 * both >= 4 * (len(sets[d]) + len(sets[e]) - both):
+            lo, hi = sorted((group[d], group[e]))
+            group = {x: lo if g == hi else g for x, g in group.items()}
+    assert sorted(r["doc_id"] for r in after) == sorted(set(group.values())) and len(after) < len(before)
 
     before, after, _ = seen["private_data"]
     new = {r["doc_id"]: r for r in after}

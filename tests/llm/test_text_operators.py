@@ -281,6 +281,49 @@ def test_partial_mentions_agree(spark):
     assert family != "Smith" and given in pii.GIVEN["LATIN", "m"] and f"{family}'s hat" in new and got[3][1] != "Q."
 
 
+def test_untitled_repeats_agree():
+    new, spans = pii.replaced("Mr. John Smith met Mr. Smith. John Smith said hi; Smith left the Smithy. Dr. Jane Roe and Roe's hat.", b"k")
+    got = [new[s["start"] : s["start"] + s["length"]] for s in spans]
+    family, roe = got[1], got[4].split()[1]
+    assert got[0] == got[2] and got[0].split()[1] == family == got[3] and got[5] == roe and len(got) == 6
+    assert "Smith " not in new and "Roe" not in new and "Jane" not in new and "the Smithy." in new
+
+
+@pytest.mark.parametrize("text", ["Miss Universe won", "Ms. Pac-Man ran", "my secret: something else", "the token: Important", "password = required_", ""])
+def test_what_is_no_private_data_stays(text):
+    assert pii.replaced(text, b"k")[0] == text or text.endswith("_")
+
+
+@pytest.mark.parametrize("entity", ["שלום@example.com", "محمد@site.com", "राम@उदाहरण.in", "ກຸ້ງ@ex.com", "李雷@例子.cn", "Ὀδυσσεύς@site.gr"])
+def test_letters_of_all_scripts_go(entity):
+    for nonce in range(9):
+        new = pii.surrogate("email", entity.lower(), nonce, b"k")
+        assert all(a != b and (not b.isalpha() or pii.script_of(a) == pii.script_of(b)) for a, b in zip(entity.lower().partition("@")[0], new, strict=False) if a.isalpha()), new
+    new = pii.replaced(f"to {entity} and", b"k")[0]
+    assert entity not in new and new.startswith("to ") and new.endswith(" and") and "@" in new
+
+
+PLANTED = {  # kind: what must go
+    "email": ["ann.lee@corp-x.com", "o'neil_7@mail.example.org"[2:]], "phone": ["+1 (826) 555-4081", "+49 30 1234567", "212-555-0187"], "card": ["4111 1111 1111 1111", "5500005555555559"],
+    "iban": ["GB82 WEST 1234 5698 7654 32"], "ssn": ["123-45-6789"], "ip": ["190.137.223.204"], "secret": ["f3ef4d6b2755a36d99"], "person": ["Jonathan Quill", "Marguerite Dubois"],
+}
+
+
+def test_planted_entities_go(spark):
+    """What was put into clean prose, not what the operator finds."""
+    lead = {"secret": 'token = "', "person": "Mr. "}
+    clean = ["No numbers here but 42 and 3.14, on 2024-01-05 at 10:30.", "Version 1.2.3 of 10,000 rows; call 911."]
+    texts = [f"Before this, {lead.get(k, '')}{x}, and after." for k, xs in PLANTED.items() for x in xs]
+    docs = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymised(docs).collect()}
+    for i, (k, x) in enumerate((k, x) for k, xs in PLANTED.items() for x in xs):
+        new = got[i]["text"]
+        assert x not in new and new.startswith("Before this, ") and new.endswith(", and after.") and [e["kind"] for e in got[i]["entities"]] == [k], (x, new)
+    assert [got[len(texts) + i]["text"] for i in range(2)] == clean
+    other = {r["doc_id"]: r["text"] for r in pii.pseudonymised(docs, key=b"other").collect()}
+    assert all(other[i] != got[i]["text"] for i in range(len(texts)))
+
+
 def test_many_names_have_surrogates_of_their_own(spark):
     names = [f"{a}{b}" for a in ("Bar", "Mol", "Ker", "Tan", "Ros", "Vil") for b in ("ta", "no", "ri", "lu", "ke", "so")]
     docs = spark.createDataFrame([(i, f"Mr. {n} Li met Mr. {n}a. Then Mr. {n} Li left") for i, n in enumerate(names)], "doc_id long, text string")
