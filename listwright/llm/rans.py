@@ -219,27 +219,24 @@ def _table(path: str) -> tuple[Table, int]:
 
 
 def tokenized(docs: DataFrame, path: str, key: str, text: str, file: str, end: int) -> DataFrame:
-    """(none, key, ids, n, turn, counts) in a table written to path: the ids of each text and the end id as bytes, made where
+    """(none, key, ids, turn, counts) in a table written to path: the ids of each text and the end id as bytes, made where
     the texts are read; none tells a null key, turn tells equal rows apart. A row of counts alone, the last of each
     task that saw a document, holds how often the task's documents have each id."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        encode, last, turn, counts = encoder(file).ids, np.array([end], IDS).tobytes(), TaskContext.get().partitionId() << 40, None
+        encode, last, counts = encoder(file).ids, np.array([end], IDS).tobytes(), None
         for b in batches:
             ids = [(encode(t) if isinstance(t, str) else b"") + last for t in b["text"]]
             if ids:
                 found = np.bincount(np.frombuffer(b"".join(ids), IDS), minlength=1 << 16)
                 counts = found if counts is None else counts + found
-            yield pd.DataFrame({"none": b["none"], "key": b["key"], "ids": ids, "n": np.array([len(x) // 2 for x in ids], np.int64), "turn": turn + np.arange(len(ids)), "counts": None})
-            turn += len(ids)
+            yield pd.DataFrame({"none": b["none"], "key": b["key"], "ids": ids, "turn": b["turn"], "counts": None})
         if counts is not None:
-            yield pd.DataFrame({"none": [False], "key": [0], "ids": [None], "n": [0], "turn": [0], "counts": [counts.astype("<i8").tobytes()]})
+            yield pd.DataFrame({"none": [False], "key": [0], "ids": [None], "turn": [0], "counts": [counts.astype("<i8").tobytes()]})
 
     at = F.col(f"`{key}`").cast("long")
-    rows = docs.select(F.coalesce(at, F.lit(0)).alias("key"), at.isNull().alias("none"), F.col(f"`{text}`").alias("text"))
-    shape = "none boolean, key long, ids binary, n long, turn long, counts binary"
+    rows = docs.select(F.coalesce(at, F.lit(0)).alias("key"), at.isNull().alias("none"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("turn"))
+    shape = "none boolean, key long, ids binary, turn long, counts binary"
     fewer(rows.mapInPandas(each, shape)).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(shape).parquet(path)
 
@@ -274,16 +271,14 @@ def write_files(docs: DataFrame, path: str, file: str, end: int, key: str = "doc
     spark.createDataFrame([(bytearray(packed),)], "data binary").coalesce(1).mapInPandas(_putter(table_path), "size long").collect()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part, turn, writer, name = TaskContext.get().partitionId(), 0, None, ""
+        part, turn, writer, name = 0, 0, None, ""
 
         def over() -> pd.DataFrame:
             docs, n, blocks, size = writer.close()
             return pd.DataFrame({"part": [part], "turn": [turn], "path": [name], "docs": [docs], "n": [n], "blocks": [blocks], "bytes": [size]})
 
         for b in batches:
-            for k, ids in zip(b["key"].tolist(), b["ids"], strict=True):
+            for part, k, ids in zip(b["part"].tolist(), b["key"].tolist(), b["ids"], strict=True):  # one part: the range
                 if writer is None:
                     name = f"{path}/{uuid.uuid4().hex}.rans"
                     writer = Writer(opened(name, "w"), *_table(table_path))
@@ -296,7 +291,8 @@ def write_files(docs: DataFrame, path: str, file: str, end: int, key: str = "doc
 
     order = [F.col("none").desc(), F.col("key"), F.xxhash64("ids"), F.col("turn")]
     ranges = rows.where("counts is null").select("none", "key", "ids", "turn").repartitionByRange(*order).sortWithinPartitions(*order)
-    files = written(ranges.select("key", "ids").mapInPandas(encode, "part int, turn int, path string, docs long, n long, blocks int, bytes long"), "rans-files")
+    ranges = ranges.select(F.spark_partition_id().alias("part"), "key", "ids")
+    files = written(ranges.mapInPandas(encode, "part int, turn int, path string, docs long, n long, blocks int, bytes long"), "rans-files")
     dropped(spark, ids_path)
     before = Window.orderBy("part", "turn").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return files.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), "docs", "n", "blocks", "bytes")

@@ -89,6 +89,14 @@ def test_token_files(spark, sf, odd, none):
     back = rans.read_files(rans.write_files(odd, path, vocabulary("byte_bpe_50k.json"), 2), path).orderBy("start").collect()
     assert [r["key"] for r in back] == [0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 10] and len(back[3]["ids"]) == 4
     path = fresh_dir(spark, "rans-test")
+    spark.conf.set("spark.sql.shuffle.partitions", "150")  # more ranges than files are written at once
+    many = spark.range(0, 6000, 1, 40).selectExpr("(id * 7919) % 6000 AS doc_id", "repeat('ab c ', cast(id % 9 as int)) AS text")
+    try:
+        got = rans.read_files(rans.write_files(many, path, vocabulary("byte_bpe_50k.json"), 2), path).orderBy("start").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [r["key"] for r in got] == list(range(6000)) and all(a["start"] + len(a["ids"]) // 4 == b["start"] for a, b in zip(got, got[1:], strict=False))
+    path = fresh_dir(spark, "rans-test")
     assert rans.read_files(rans.write_files(none, path, vocabulary("byte_bpe_50k.json"), 2), path).count() == 0
 
 
