@@ -7,6 +7,7 @@ tokenizer's model; the whole tokenizer encodes other parts, and any text that ho
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from functools import cache
@@ -17,7 +18,7 @@ import numpy as np
 
 #: Bytes of remembered parts of a generation (there are two), the longest part that is remembered, and what an entry needs
 #: besides its signs and ids.
-KEPT_BYTES, KEPT_LENGTH, ENTRY = 44 << 20, 48, 140
+KEPT_BYTES, KEPT_LENGTH, ENTRY = 96 << 20, 48, 140
 IDS = np.dtype("<u2")
 #: The last sign whose class Python, `re` and all versions of the patterns agree on for certain.
 LATIN = 0x24F
@@ -145,7 +146,9 @@ class Encoder:
 
 @cache
 def encoder(file: str) -> Encoder:
-    """One encoder a process: what it remembers serves all tasks of a worker."""
+    """One encoder a process: what it remembers serves all tasks of a worker. Its many short-lived objects are in no
+    cycles, so the search for cycles is made rarer."""
+    gc.set_threshold(200_000)
     return Encoder(file)
 
 

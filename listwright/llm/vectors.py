@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm.common import tune, written
+from listwright.llm.common import fewer, forgotten, tune, written
 from listwright.llm.simhash import Forest
 from listwright.operators.graph import connected_components
 
@@ -20,8 +20,10 @@ SHARD_ROWS, UNIT_ROWS = 1500, 4096
 SAMPLE_ROWS, MOST_CENTROIDS, ROUNDS = 30_000, 8192, 6
 #: Graph: out-degree, candidates, far candidates and slack of the pruning; search: beam; block of queries.
 DEGREE, NEAREST, FAR, ALPHA, BEAM, BLOCK = 20, 48, 8, 1.2, 16, 128
-#: Shards a vector belongs to, at first and at most; audited queries and the recall below which shards overlap more.
+#: Shards a vector belongs to, at first and at most; audited queries (twice) and the recall below which shards overlap more.
 OVERLAP, MOST_OVERLAP, AUDIT, LEAST_RECALL = 2, 4, 256, 0.97
+#: Audited vectors with few neighbours have at most so many.
+FEW = 8
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -151,11 +153,12 @@ def _build(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def _search(least: float):
+    """Links of a unit by a search over the united lists."""
+
     def links(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("rid", ignore_index=True)
         n, ids, raw = len(part), part["rid"].to_numpy(np.int64), _matrix(part["embedding"])
-        x, norm = unit(raw), np.linalg.norm(raw, axis=1)
-        lists = []
+        x, lists = unit(raw), []
         for near in part["near"]:
             near = np.asarray(near, np.int64)
             at = np.minimum(np.searchsorted(ids, near), n - 1)
@@ -164,29 +167,50 @@ def _search(least: float):
         for at in range(0, n, BLOCK):
             found[at : at + BLOCK] = range_search(x, graph, np.arange(at, min(n, at + BLOCK)), least - 1e-9)
         found |= found.T
-        a, b = np.nonzero(np.triu(found, 1))
-        ok = np.zeros(len(a), bool)
-        for k in range(0, len(a), 1 << 16):
-            i, j = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-            ok[k : k + (1 << 16)] = np.einsum("id,id->i", raw[i], raw[j]) / (norm[i] * norm[j]) >= least
-        a, b = a[ok], b[ok]
-        forest = Forest(n)
-        forest.join(a, b)
-        shards = part["shards"].to_numpy()
-        shard, g, lo, hi = part["shard"].iloc[0], part["g"].to_numpy(), part["lo"].iloc[0], part["hi"].iloc[0]
-        own = (g[a] != g[b]) if lo != hi else np.ones(len(a), bool)
-        kinds, kind = np.unique([",".join(map(str, sorted(s))) for s in shards], return_inverse=True)
-        sets = [set(map(int, k.split(","))) for k in kinds]
-        first = np.array([[min(s & t, default=-1) for t in sets] for s in sets])
-        own &= first[kind[a], kind[b]] == shard
-        times, k = part["times"].to_numpy(np.int64), np.zeros(n, np.int64)
-        np.add.at(k, a[own], times[b[own]])
-        np.add.at(k, b[own], times[a[own]])
-        return pd.DataFrame({"rid": ids, "links": k, "root": ids[forest.label]})
+        return _counted(part, raw, *np.nonzero(np.triu(found, 1)), least)
+
+    return links
+
+
+def _compare(least: float):
+    """Links of a unit by all its products: the exact way, where searches don't reach the recall asked for."""
+
+    def links(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("rid", ignore_index=True)
+        raw = _matrix(part["embedding"])
+        x, a, b = unit(raw), [], []
+        for at in range(0, len(x), BLOCK):
+            i, j = np.nonzero(np.triu(x[at : at + BLOCK] @ x.T >= least - 1e-9, at + 1))
+            a.append(i + at)
+            b.append(j)
+        return _counted(part, raw, np.concatenate(a), np.concatenate(b), least)
 
     return links
 
 
+def _counted(part: pd.DataFrame, raw: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> pd.DataFrame:
+    """(rid, links, peers, root) of a unit's vectors from candidate pairs, each verified. A pair counts in the first shard
+    that both ends share; links counts all copies of a vector, peers distinct vectors."""
+    n, ids, norm, ok = len(part), part["rid"].to_numpy(np.int64), np.linalg.norm(raw, axis=1), np.zeros(len(a), bool)
+    for k in range(0, len(a), 1 << 16):
+        i, j = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+        ok[k : k + (1 << 16)] = np.einsum("id,id->i", raw[i], raw[j]) / (norm[i] * norm[j]) >= least
+    a, b = a[ok], b[ok]
+    forest = Forest(n)
+    forest.join(a, b)
+    shard, g, lo, hi = part["shard"].iloc[0], part["g"].to_numpy(), part["lo"].iloc[0], part["hi"].iloc[0]
+    own = (g[a] != g[b]) if lo != hi else np.ones(len(a), bool)
+    kinds, kind = np.unique([",".join(map(str, sorted(s))) for s in part["shards"]], return_inverse=True)
+    sets = [set(map(int, k.split(","))) for k in kinds]
+    first = np.array([[min(s & t, default=-1) for t in sets] for s in sets])
+    own &= first[kind[a], kind[b]] == shard
+    times, links = part["times"].to_numpy(np.int64), np.zeros(n, np.int64)
+    np.add.at(links, a[own], times[b[own]])
+    np.add.at(links, b[own], times[a[own]])
+    peers = np.bincount(a[own], minlength=n) + np.bincount(b[own], minlength=n)
+    return pd.DataFrame({"rid": ids, "links": links, "peers": peers, "root": ids[forest.label]})
+
+
 def _shards(reps: DataFrame, overlap: int) -> DataFrame:
     """reps with shards (array<long>): the nearest `overlap` cluster shards of the label. Labels too small to be split
     are one shard; the others have centroids, fitted on a bounded sample, that go out to all tasks (bounded too)."""
@@ -235,36 +259,59 @@ def _units(reps: DataFrame) -> DataFrame:
     return rows.select("rid", "label", "embedding", "times", "shards", "shard", "g", F.least("g", "mate").alias("lo"), F.greatest("g", "mate").alias("hi"))
 
 
+_FOUND = "rid long, links long, peers long, root long"
+
+
 def _linked(reps: DataFrame, least: float, overlap: int) -> DataFrame:
-    units = written(_units(written(_shards(reps, overlap), "vector-shards")), "vector-units")
+    sharded = written(_shards(reps, overlap), "vector-shards")
+    units = written(_units(sharded), "vector-units")
     key = ["label", "shard", "lo", "hi"]
     built = written(units.groupBy(*key).applyInPandas(_build, "rid long, near array<long>"), "vector-graph")
     union = built.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    found = units.join(union, "rid").groupBy(*key).applyInPandas(_search(least), "rid long, links long, root long")
-    return written(found, "vector-links")
+    found = written(units.join(union, "rid").groupBy(*key).applyInPandas(_search(least), _FOUND), "vector-links")
+    forgotten(sharded, units, built)
+    return found
+
+
+def _compared(reps: DataFrame, least: float) -> DataFrame:
+    """As _linked, with every pair of vectors of a label compared, in units of bounded size."""
+    units = _units(reps.withColumn("shards", F.array(F.xxhash64("label"))))
+    return written(units.groupBy("label", "shard", "lo", "hi").applyInPandas(_compare(least), _FOUND), "vector-links")
 
 
 def _audit(reps: DataFrame, counted: DataFrame, least: float) -> float:
-    """The share of a bounded sample's links, found by brute force against all vectors, that the graphs found too."""
-    chosen = reps.join(counted, "rid").orderBy(F.xxhash64(F.lit(17), "rid"), "rid").limit(AUDIT).select("rid", "label", "embedding", "times", "links").toPandas()
-    if not len(chosen):
-        return 1.0
+    """The recall of a bounded sample of vectors by brute force against all: the share of its distinct neighbours that a vector
+    has found, as a mean over vectors, so that a group of many copies counts no more than another. Half of the sample are
+    any vectors; the other half have found few neighbours, or none, where losses would show. The worse mean counts."""
+    pool, recalls = reps.join(counted, "rid"), []
+    for few in (False, True):
+        some = pool.where(F.col("peers") <= FEW) if few else pool
+        chosen = some.orderBy(F.xxhash64(F.lit(17), "rid"), "rid").limit(AUDIT).select("rid", "label", "embedding", "peers").toPandas()
+        if len(chosen):
+            recalls.append(_recall(reps, chosen, least))
+    return min(recalls, default=1.0)
+
+
+def _recall(reps: DataFrame, chosen: pd.DataFrame, least: float) -> float:
     raw, labels, ids = _matrix(chosen["embedding"]), chosen["label"].to_numpy(), chosen["rid"].to_numpy()
     norm = np.linalg.norm(raw, axis=1)
 
     def truth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(len(ids), np.int64)
         for b in batches:
-            if len(b):
-                y = _matrix(b["embedding"])
-                c = (raw @ y.T) / (norm[:, None] * np.linalg.norm(y, axis=1)[None])
-                c[(labels[:, None] != b["label"].to_numpy()[None]) | (ids[:, None] == b["rid"].to_numpy()[None])] = -9
-                sums += (c >= least) @ b["times"].to_numpy(np.int64)
+            for label, rows in b.groupby("label"):  # vectors of a label have one length
+                mine = np.flatnonzero(labels == label)
+                if len(mine):
+                    y = _matrix(rows["embedding"])
+                    c = (raw[mine] @ y.T) / (norm[mine][:, None] * np.linalg.norm(y, axis=1)[None])
+                    c[ids[mine][:, None] == rows["rid"].to_numpy()[None]] = -9
+                    sums[mine] += (c >= least).sum(axis=1)
         yield pd.DataFrame({"i": np.arange(len(ids)), "n": sums})
 
     true = reps.mapInPandas(truth, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas().set_index("i")["n"]
     true = true.reindex(range(len(ids))).fillna(0).to_numpy()
-    return float(np.minimum(chosen["links"], true).sum() / true.sum()) if true.sum() else 1.0
+    on = true > 0
+    return float(np.minimum(1, chosen["peers"].to_numpy()[on] / true[on]).mean()) if on.any() else 1.0
 
 
 def near_duplicate_vectors(rows: DataFrame, least: float = COSINE, key: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
@@ -278,7 +325,7 @@ def near_duplicate_vectors(rows: DataFrame, least: float = COSINE, key: str = "v
     Graphs are built on overlapping cluster shards, a vector's adjacency lists are united over its shards, and every
     vector is searched for in each of its shards over the united lists. A link is counted in the first shard that both
     ends share. audit_recall is measured by brute force for a bounded sample of queries; below LEAST_RECALL the
-    graphs are made again with more overlap."""
+    graphs are made again with more overlap, and where the most overlap does not do, all pairs of a label are compared."""
     tune(rows.sparkSession)
     v = F.col(f"`{vector}`")
     fine = F.col(f"`{key}`").isNotNull() & F.col(f"`{label}`").isNotNull() & v.isNotNull() & (F.size(v) > 0)
@@ -291,11 +338,12 @@ def near_duplicate_vectors(rows: DataFrame, least: float = COSINE, key: str = "v
     reps = classes.select("rid", F.concat_ws(" ", F.size("embedding"), F.col("label").cast("string")).alias("label"), "embedding", "times")
     overlap = OVERLAP
     while True:
-        found = _linked(reps, least, overlap)
-        counted = written(found.groupBy("rid").agg(F.sum("links").alias("links")), "vector-counts")
+        found = _linked(reps, least, overlap) if overlap <= MOST_OVERLAP else _compared(reps, least)
+        counted = written(found.groupBy("rid").agg(F.sum("links").alias("links"), F.sum("peers").alias("peers")), "vector-counts")
         recall = _audit(reps, counted, least)
-        if recall >= LEAST_RECALL or overlap >= MOST_OVERLAP:
+        if recall >= LEAST_RECALL or overlap > MOST_OVERLAP:
             break
+        forgotten(found, counted)
         overlap += 1
     parts = connected_components(found.select(F.col("rid").alias("u"), F.col("root").alias("v")))
     of = counted.join(parts.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "links", F.coalesce("component", "rid").alias("component"))
@@ -308,4 +356,6 @@ def near_duplicate_vectors(rows: DataFrame, least: float = COSINE, key: str = "v
 
 
 def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """A row for each vector. Vectors that link with nothing (null, zero, not finite, without a label) are their own
+    component; repeated ids stay separate rows; no vectors give no rows."""
+    return fewer(near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))

@@ -59,6 +59,31 @@ def test_vectors_in_shards_and_units(spark, monkeypatch):
     assert (np.array([r["component_id"] for r in got]) == comp).mean() >= 0.97
 
 
+def test_vectors_query_against_brute_force(spark, sf):
+    """The registered query on a whole table, and on one with the same vectors turned into near copies."""
+    rows = sorted(spark.read.parquet(f"{sf}/embeddings.parquet").collect(), key=lambda r: r["vec_id"])
+    got = {r["vec_id"]: r for r in QUERIES["op2_vectors"](spark, sf).collect()}
+    ids, labels, raw = np.array([r["vec_id"] for r in rows]), np.array([r["label"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    n, comp = exact_links(ids, labels, raw)
+    assert [got[i]["n_links"] for i in ids] == n.tolist() and [got[i]["component_id"] for i in ids] == comp.tolist() and all(got[i]["kept"] == (c == i) for i, c in zip(ids, comp, strict=True))
+
+
+def test_exact_way_where_searches_fail(spark, monkeypatch, tmp_path):
+    """With graphs that hold no edges the audit sees the loss, and all pairs are compared."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(120, 16))
+    raw = np.concatenate((base, base[:50] + 0.02 * rng.normal(size=(50, 16)), base[0] + 0.02 * rng.normal(size=(300, 16))))
+    rows = spark.createDataFrame([(i, [float(v) for v in x], i % 2, "clash") for i, x in enumerate(raw)], "vec_id long, embedding array<double>, label int, rid string")
+    monkeypatch.setattr(vectors, "UNIT_ROWS", 640)
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 60)
+    monkeypatch.setattr(vectors, "_linked", lambda reps, least, overlap: vectors._compared(reps, 2.0))
+    rows.union(rows.where("vec_id = 3")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(vectors.op2_vectors(spark, str(tmp_path)).collect(), key=lambda r: r["vec_id"])
+    ids = np.array([r["vec_id"] for r in got])
+    n, comp = exact_links(ids, ids % 2, raw[ids])
+    assert len(got) == 471 and [r["n_links"] for r in got] == n.tolist() and [r["component_id"] for r in got] == comp.tolist() and got[0]["audit_recall"] == 1.0
+
+
 def test_range_search_on_the_graph():
     rng = np.random.default_rng(4)
     x = vectors.unit(np.concatenate((rng.normal(size=(500, 8)), np.ones(8) + 0.05 * rng.normal(size=(80, 8)))))
