@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,26 +65,35 @@ def multilabel(scores: Column) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, BIRTHDAYS)), F.array(*[F.coalesce(scores[b], F.lit(0.0)) for b in BIRTHDAYS]))
 
 
-def has_phrase(text: Column, phrase: str) -> Column:
-    """F-05: a phrase as whole words."""
-    return text.rlike(rf"(?U)(?<!\w)\Q{phrase}\E(?!\w)")
+def once(value: Column, then) -> Column:
+    """then(value), with value worked out once however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def has_phrase(text: Column, *phrases: str) -> Column:
+    """F-05: any of some phrases as whole words, by one pattern."""
+    return text.rlike(rf"(?U)(?<!\w)(?:{'|'.join(rf'\Q{p}\E' for p in phrases)})(?!\w)")
 
 
 def signals(title: Column) -> Column:
     """F-06: struct of kid_word, kid_age, adult_age, milestone_age and rel_word."""
-    t = F.regexp_replace(F.lower(title), IN_LAW, "inlaw")
-    found = ages(t)
-    return F.struct(
-        any_of([has_phrase(t, w) for w in KID_WORDS]).alias("kid_word"),
+    words = F.regexp_replace(F.lower(title), IN_LAW, "inlaw")
+    seen = lambda t, found: F.struct(
+        has_phrase(t, *KID_WORDS).alias("kid_word"),
         F.exists(found, lambda a: a <= KID_AGE_MAX).alias("kid_age"),
         ((F.size(found) > 0) & F.forall(found, lambda a: a > KID_AGE_MAX)).alias("adult_age"),
         F.exists(found, lambda a: a.isin(*MILESTONE_AGES)).alias("milestone_age"),
-        any_of([has_phrase(t, w) for w in REL_WORDS]).alias("rel_word"),
+        has_phrase(t, *REL_WORDS).alias("rel_word"),
     )
+    return once(words, lambda t: once(ages(t), lambda found: seen(t, found)))
 
 
 def violations(occasion: Column, s: Column) -> Column:
     """F-07: codes of what a title says against its label, in a fixed order."""
+    return once(s, lambda seen: _codes(occasion, seen))
+
+
+def _codes(occasion: Column, s: Column) -> Column:
     kid = s["kid_word"] | s["kid_age"]
     is_ = lambda o: occasion == o
     rules = [
@@ -135,10 +145,12 @@ def scored_title(title: Column, score: Column) -> Column:
     return F.format_string("%s (score: %.2f)", F.trim(F.regexp_replace(title, r"\s+", " ")), score)
 
 
+# The greetings of occasion groups.
 GREETINGS = {
     "birthday": "Happy Birthday", "christmas": "Merry Christmas", "mothers_day": "Happy Mother's Day", "fathers_day": "Happy Father's Day",
     "valentines_day": "Happy Valentine's Day", "easter": "Happy Easter", "anniversary": "Happy Anniversary", "wedding": "Congratulations",
     "sympathy": "With Sympathy", "thank_you": "Thank You", "congratulations": "Congratulations",
+    "new_baby": "Congratulations", "leaving": "Good Luck",
 }
 
 
@@ -215,3 +227,48 @@ def ocr_text(tokens: Column, least: float = 0.0) -> Column:
     conf = F.transform(kept, lambda t: t["conf"].try_cast("double"))
     mean = F.aggregate(conf, F.lit(0.0), lambda a, b: a + b) / F.nullif(F.size(conf), F.lit(0))
     return F.struct(F.array_join(F.transform(kept, lambda t: F.trim(t["text"])), " ").alias("text"), mean.alias("conf"))
+
+
+def wrapped(text: str, most: float, width=len) -> list[str]:
+    """F-39: lines of whole words, each as long as fits; a line that would break behind its last comma or semicolon but one
+    word breaks there."""
+    lines, line = [], ""
+    for word in text.split():
+        longer = f"{line} {word}" if line else word
+        if not line or width(longer) <= most:
+            line = longer
+            continue
+        head, _, last = line.rpartition(" ")
+        if head.endswith((",", ";")):
+            lines.append(head)
+            line = f"{last} {word}"
+        else:
+            lines.append(line)
+            line = word
+    return [*lines, line] if line else [text]
+
+
+def fitted(text: str, box_w: int, box_h: int, advance: float = 0.55, leading: float = 1.2) -> tuple[int, list[str]] | None:
+    """F-39: the largest size from 24 to half the box's height (28 at least) at which the wrapped text fits a box, by halving,
+    for letters that are `advance` times the size wide; None if none does."""
+    lo, hi, best = 24, max(28, box_h // 2), None
+    while lo <= hi:
+        size = (lo + hi) // 2
+        width = lambda s, size=size: len(s) * size * advance
+        lines = wrapped(text, box_w, width)
+        if len(lines) * size * leading <= box_h and max(map(width, lines)) <= box_w:
+            best, lo = (size, lines), size + 1
+        else:
+            hi = size - 1
+    return best
+
+
+def fitted_lines(text: Column, box_w: int, box_h: int) -> Column:
+    """F-39 as a column: struct of size and lines, null where nothing fits. The metric stands in for a font's."""
+
+    @F.pandas_udf("size int, lines array<string>")
+    def fit(texts: pd.Series) -> pd.DataFrame:
+        got = [fitted(t, box_w, box_h) if isinstance(t, str) else None for t in texts]
+        return pd.DataFrame([g or (None, None) for g in got], columns=["size", "lines"]).astype({"size": "Int32"})
+
+    return fit(text)

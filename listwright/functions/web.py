@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from listwright.functions.titles import digits_only, first_number, price
+from listwright.functions.titles import digits_only, first_number, once, price
 
 LD_BODY = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
 
@@ -54,6 +54,7 @@ def json_ld(html: Column, kind: str) -> Column:
     return F.get(named, F.lit(0))
 
 
+# Fixed value: the pattern of a marketplace's image URLs.
 IMAGE_URL = r"(?i)(https://ih\d+\.redbubble\.net/image\.[^\"'\s\\]+?\.(?:jpg|jpeg|png|webp))"
 
 
@@ -76,14 +77,20 @@ def cover_first(urls: Column) -> Column:
 
 def best_variants(html: Column) -> Column:
     """F-14: a page's image URLs, the best variant of each artwork, in order of first sight."""
-    found = F.filter(F.regexp_extract_all(html, F.lit(IMAGE_URL), F.lit(1)), lambda u: image_id(u).isNotNull())
-    ids = F.array_distinct(F.transform(found, lambda u: image_id(u)))
-    return F.transform(ids, lambda d: F.get(cover_first(F.filter(found, lambda u: image_id(u) == d)), F.lit(0)))
+    named = lambda u, i: F.struct(image_id(u).alias("id"), i.alias("i"), variant_rank(u).alias("r"), u.alias("u"))
+    found = F.filter(F.transform(F.array_distinct(F.regexp_extract_all(html, F.lit(IMAGE_URL), F.lit(1))), named), lambda x: x["id"].isNotNull())
+    first = lambda rows: once(F.array_sort(rows), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["id"] != x["id"])))
+    by_rank = lambda x: F.struct(x["id"].alias("id"), x["r"].alias("r"), x["i"].alias("i"), x["u"].alias("u"))
+    pairs = lambda x: F.zip_with(first(x), first(F.transform(x, by_rank)), lambda a, b: F.struct(a["i"].alias("i"), b["u"].alias("u")))
+    return once(found, lambda x: F.transform(F.array_sort(pairs(x)), lambda y: y["u"]))  # both sides are in order of id
 
 
 def listing(html: Column, url: Column) -> Column:
     """F-12: a listing's fields, each from JSON-LD or else from the page."""
-    ld = json_ld(html, "Product")
+    return once(json_ld(html, "Product"), lambda ld: _listing(html, url, ld))
+
+
+def _listing(html: Column, url: Column, ld: Column) -> Column:
     of = lambda path: F.get_json_object(ld, path)
     shown = price(F.regexp_extract(html, r"(?is)<[^>]*(?:data-testid=[\"']product-price[\"']|class=[\"']price[\"'])[^>]*>(.*?)<", 1))
     said = F.bround(F.coalesce(of("$.offers.price"), of("$.offers[0].price")).try_cast("double") * 100).cast("int")

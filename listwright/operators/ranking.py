@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listwright.sources.shared import written
+
 
 def _by(cols: list[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -44,12 +46,29 @@ def largest_groups(df: DataFrame, group: str, member: str, groups: int, members:
     return top_per(df.join(ranked, group), [group], [F.col(member)], members, "member_rank")
 
 
+def summed_before(df: DataFrame, order: list[Column], weight: Column, name: str) -> DataFrame:
+    """df with the sum (long) of a weight over all rows before, in one order of the whole table that leaves no ties.
+
+    Rows are sorted by ranges; a window sums inside each range, and the sums of the ranges before, a row for each of them,
+    are added: no task holds all rows."""
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = ranges.select("*", weight.cast("long").alias("__w"), F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m"))
+    rows = written(ranges, "ranges")
+    before = lambda w: F.coalesce(F.sum("__w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = rows.groupBy("__p").agg(F.sum("__w").alias("__w")).select("__p", before(Window.orderBy("__p")).alias("__o"))
+    inside = rows.withColumn("__i", before(Window.partitionBy("__p").orderBy("__m")))
+    return inside.join(F.broadcast(sums), "__p").withColumn(name, F.col("__o") + F.col("__i")).drop("__w", "__p", "__m", "__o", "__i")
+
+
 def average_ranks(df: DataFrame, value: str, by: list[str] = (), name: str = "rank") -> DataFrame:
     """W-07: ranks from 1 with ties at their mean. Counts of equal values are ranked, not rows."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__k"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*by, value, (F.coalesce(F.sum("__k").over(before), F.lit(0)) + (F.col("__k") + 1) / 2).alias(name))
-    return df.join(ranks, [*by, value])
+    if by:
+        before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("__before", F.coalesce(F.sum("__k").over(before), F.lit(0)))
+    else:
+        counts = summed_before(counts, [F.col(value)], F.col("__k"), "__before")
+    return df.join(counts.select(*by, value, (F.col("__before") + (F.col("__k") + 1) / 2).alias(name)), [*by, value])
 
 
 def gaps(df: DataFrame, by: str, number: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listwright.operators.ranking import md5_order
+from listwright.operators.ranking import md5_order, summed_before
 
 DIMS = ("occasion_fit", "aesthetic", "emotional_resonance", "distinctiveness", "purchase_intent")
 ALPHAS = tuple(float(a) for a in np.logspace(-3, 4, 22))
@@ -20,10 +20,10 @@ def group_split(df: DataFrame, group: str, key: str, train: float = 0.7, val: fl
     groups, rounded down; the order of groups depends on their names and the seed alone."""
     named = df.withColumn("__g", F.coalesce(F.col(group).cast("string"), F.concat(F.lit("__null_"), F.col(key).cast("string"))))
     groups = named.select("__g").distinct().withColumn("__h", md5_order(seed, F.col("__g")))
-    turn = F.row_number().over(Window.orderBy("__h", "__g")) - 1  # one row a group, narrow
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    a, b = F.floor(n * train), F.floor(n * train) + F.floor(n * val)
-    sides = groups.select("__g", F.when(turn < a, "train").when(turn < b, "val").otherwise("test").alias("side"))
+    groups = summed_before(groups, [F.col("__h"), F.col("__g")], F.lit(1), "__turn")
+    groups = groups.crossJoin(F.broadcast(groups.agg(F.count(F.lit(1)).alias("__n"))))  # one row
+    a, b = F.expr(f"floor(__n * {train}D)"), F.expr(f"floor(__n * {train}D) + floor(__n * {val}D)")
+    sides = groups.select("__g", F.when(F.col("__turn") < a, "train").when(F.col("__turn") < b, "val").otherwise("test").alias("side"))
     return named.join(sides, "__g").drop("__g")
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listwright.operators.ranking import average_ranks
+from listwright.operators.ranking import average_ranks, summed_before
 
 # Coefficients of Hart's rational approximation of the normal distribution in double precision.
 HART_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
 HART_BOTTOM = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 ROOT_TWO_PI = 2.506628274631
+#: Rows of a group that one task of the bootstrap draws from.
+PART_ROWS = 20_000
 
 
 def _horner(coefficients: tuple[float, ...], x: Column) -> Column:
@@ -147,7 +153,7 @@ def _index(seed: str, n: Column, *parts: str) -> Column:
 
 def best_of_n(df: DataFrame, key: str, prediction: str, target: str, n: int = 8, trials: int = 20_000, seed: str = "0") -> DataFrame:
     """M-14: what the predictor's choice among n draws scores, against one draw and the best; ties go to the first draw."""
-    rows = df.select(key, prediction, target).withColumn("i", F.row_number().over(Window.orderBy(key)).cast("long") - 1)  # a test set
+    rows = summed_before(df.select(key, prediction, target), [F.col(key)], F.lit(1), "i")
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     draws = df.sparkSession.range(trials).withColumnRenamed("id", "trial").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     draws = draws.crossJoin(F.broadcast(total)).withColumn("i", _index(seed, F.col("total"), "trial", "draw"))  # total: one row
@@ -157,15 +163,38 @@ def best_of_n(df: DataFrame, key: str, prediction: str, target: str, n: int = 8,
     return out.withColumn("recovered", F.try_divide(F.col("picked") - F.col("random"), F.col("oracle") - F.col("random")))
 
 
-def bootstrap_mean(df: DataFrame, group: str, key: str, value: str, rounds: int = 10_000, level: float = 0.95, seed: str = "42") -> DataFrame:
-    """M-22: a percentile interval of each group's mean from seeded resamples."""
-    rows = df.where(F.col(value).isNotNull()).select(group, key, value)
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy(key)).cast("long") - 1)
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    turns = sizes.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    means = turns.withColumn("i", _index(seed, F.col("n"), "turn", "slot")).join(rows, [group, "i"]).groupBy(group, "turn").agg(F.avg(value).alias("m"))
+def bootstrap_mean(df: DataFrame, group: str, key: str, value: str, rounds: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """M-22: (group, low, high), a percentile interval of each group's mean from seeded resamples. Rows without a value don't
+    count; a group without any has no row.
+
+    A group's rows are dealt by a hash of the key to parts of about PART_ROWS. Each part gives, for all rounds, the sum of
+    its draws and their number; a round's mean is the ratio of their totals. A group of one part draws as many rows as
+    it has, the plain bootstrap. In larger groups the parts' numbers of draws are Poisson, so that parts need not know
+    of each other; they make up the group's size to within a share of 1 / sqrt(rows)."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("v"))
+    sizes = rows.groupBy(F.col("g").alias("of")).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
+    dealt = rows.join(sizes, F.col("g").eqNullSafe(F.col("of"))).drop("of")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
+    kind = df.schema[group].dataType.simpleString()
+
+    def draw(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["k", "v"])
+        x, name = part["v"].to_numpy(), part["g"].iloc[0]
+        rng = np.random.default_rng([seed, zlib.crc32(str(name).encode()), int(part["part"].iloc[0])])
+        n = np.full(rounds, len(x)) if part["parts"].iloc[0] == 1 else rng.poisson(len(x), rounds)
+        sums, step = np.zeros(rounds), max(1, (1 << 22) // len(x))
+        for at in range(0, rounds, step):
+            many = n[at : at + step]
+            drawn = np.concatenate((x[rng.integers(0, len(x), many.sum())], [0.0]))
+            ends = np.cumsum(many)
+            total = np.concatenate(([0.0], np.cumsum(drawn)))
+            sums[at : at + step] = total[ends] - total[ends - many]
+        return pd.DataFrame({"g": [name] * rounds, "r": np.arange(rounds, dtype=np.int32), "s": sums, "n": n})
+
+    drawn = dealt.groupBy("g", "part").applyInPandas(draw, f"g {kind}, r int, s double, n long")
+    means = drawn.groupBy("g", "r").agg((F.sum("s") / F.sum("n")).alias("m"))
     tail = (1 - level) / 2
-    return means.groupBy(group).agg(F.expr(f"percentile(m, {tail})").alias("low"), F.expr(f"percentile(m, {1 - tail})").alias("high"))
+    return means.groupBy(F.col("g").alias(group)).agg(F.expr(f"percentile(m, {tail})").alias("low"), F.expr(f"percentile(m, {1 - tail})").alias("high"))
 
 
 def group_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -70,3 +70,30 @@ def pending(items: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
 def keys_hold(df: DataFrame, key: list[str]) -> bool:
     """A table's primary key, as an assertion before a write."""
     return df.groupBy(*key).count().where("count > 1").isEmpty()
+
+
+def scores_filled(old: DataFrame, new: DataFrame, key: str, col: str) -> DataFrame:
+    """K-08: a JSON column filled from `new` where it is null or JSON's null; all rows of old stay, none is added."""
+    from listwright.functions.web import is_json_null
+
+    rows = old.join(new.select(key, F.col(col).alias("__new")), key, "left")
+    empty = F.col(col).isNull() | is_json_null(F.col(col))
+    return rows.withColumn(col, F.when(empty & F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col(col))).drop("__new")
+
+
+def inserted(old: DataFrame, new: DataFrame, ident: str, order: list[str]) -> DataFrame:
+    """K-11: the rows of `new` with the ids that follow the greatest of old, in an order without ties; ids don't change when
+    the insert is tried again."""
+    from listwright.operators.ranking import summed_before
+
+    last = old.agg(F.coalesce(F.max(ident), F.lit(0)).cast("long").alias("__last"))  # one row
+    rows = summed_before(new, [F.col(c) for c in order], F.lit(1), "__place")
+    return rows.crossJoin(F.broadcast(last)).withColumn(ident, F.col("__last") + F.col("__place") + 1).drop("__last", "__place")
+
+
+def reported(df: DataFrame, path: str, form: str, by: str | None = None) -> None:
+    """K-16: a report as CSV with a header or as JSON lines, in folders by a column if one is named."""
+    from listwright.sources.shared import fewer
+
+    writer = fewer(df).write.format(form).option("header", True)
+    (writer.partitionBy(by) if by else writer).save(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listwright.plans import changes, duplicates, relational, statistics, streams, texts  # noqa: F401  they register their queries
+from listwright.plans import changes, duplicates, files, relational, statistics, streams, texts  # noqa: F401  they register their queries
 from listwright.plans.registry import FLAGSHIP, oracle_sql, queries
 
 __all__ = ["FLAGSHIP", "oracle_sql", "queries"]

@@ -43,11 +43,31 @@ def learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), y.cast("double").alias("y"))
 
 
-@framed("m04_m05_ridge", "SELECT vec_id, round(greatest(0, least(1, 0.5::DOUBLE + 0.3::DOUBLE * embedding[1] - 0.2::DOUBLE * embedding[2] + 0.1::DOUBLE * embedding[3])), 3) AS s FROM embeddings")
+ALPHAS = f"SELECT unnest({list(S.ALPHAS)}::DOUBLE[]) AS alpha"
+
+
+@framed("m04_m05_ridge", f"""WITH r AS (SELECT vec_id, embedding[1]::DOUBLE AS u, embedding[2]::DOUBLE AS v, 0.5::DOUBLE + 0.3::DOUBLE * embedding[1] - 0.2::DOUBLE * embedding[2] + 0.1::DOUBLE * embedding[3] AS y FROM embeddings), m AS (SELECT count(*)::DOUBLE AS n, avg(u) AS mu, avg(v) AS mv, avg(y) AS my FROM r),
+    z AS (SELECT vec_id, n, my, u - mu AS u, v - mv AS v, y - my AS y FROM r, m), g AS (SELECT sum(u * u) AS a, sum(u * v) AS b, sum(v * v) AS c, sum(u * y) AS p, sum(v * y) AS q FROM z),
+    w AS (SELECT alpha, a + alpha AS a, b, c + alpha AS c, (a + alpha) * (c + alpha) - b * b AS det, ((c + alpha) * p - b * q) / ((a + alpha) * (c + alpha) - b * b) AS wu, ((a + alpha) * q - b * p) / ((a + alpha) * (c + alpha) - b * b) AS wv FROM g, ({ALPHAS})),
+    e AS (SELECT alpha, wu, wv, sum(((y - wu * u - wv * v) / (1 - 1 / n - (c * u * u - 2 * b * u * v + a * v * v) / det)) ^ 2) AS loo FROM w, z GROUP BY ALL), best AS (SELECT * FROM e ORDER BY loo, alpha LIMIT 1)
+    SELECT vec_id, best.alpha, round(greatest(0, least(1, my + wu * u + wv * v)), 6) AS s FROM z, best""")
 def m04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = learnable(spark, sf_dir)
-    w, b, _ = S.ridge(rows, "x", "y", (1e-6, 1e-3, 1.0))
-    return rows.select("vec_id", F.round(S.ridge_score(F.col("x"), list(w), b), 3).alias("s"))
+    """Two features of a target that depends on three: the penalty is chosen by leave-one-out error, as SQL can say for two."""
+    rows = learnable(spark, sf_dir).withColumn("x", F.slice("x", 1, 2))
+    w, b, alpha = S.ridge(rows, "x", "y")
+    return rows.select("vec_id", F.lit(alpha).alias("alpha"), F.round(S.ridge_score(F.col("x"), list(w), b), 6).alias("s"))
+
+
+def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noise = F.pmod(F.col("vec_id") * 7919, F.lit(101)) / 50 - 1
+    return learnable(spark, sf_dir).withColumn("y", F.col("y") + 0.2 * noise)
+
+
+@framed("m04_ridge_of_noisy_scores")
+def m04b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The penalty that leave-one-out errors choose of all; tests hold it against a refit without each row."""
+    w, b, alpha = S.ridge(noisy(spark, sf_dir), "x", "y")
+    return spark.createDataFrame([(float(alpha), float(b), [float(x) for x in w])], "alpha double, intercept double, weights array<double>")
 
 
 @framed("m06_network_scores", "SELECT vec_id, round(1 / (1 + exp(-(greatest(embedding[1]::DOUBLE + 0.1, 0) - 0.5::DOUBLE * greatest(embedding[2]::DOUBLE, 0)))), 6) AS purchase_intent FROM embeddings")
@@ -63,9 +83,11 @@ def m08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.feature_stats(learnable(spark, sf_dir), "x").select("i", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
-@framed("m09_isotonic")
+@framed("m09_isotonic", """WITH g AS (SELECT aesthetic AS x, sum(fit) AS s, count(*) AS n, row_number() OVER (ORDER BY aesthetic) AS i FROM graded GROUP BY 1), c AS (SELECT i, x, s, n, sum(s) OVER (ORDER BY i) AS ss, sum(n) OVER (ORDER BY i) AS nn FROM g),
+    m AS (SELECT a.i AS lo, b.i AS hi, (b.ss - a.ss + a.s) / (b.nn - a.nn + a.n) AS m FROM c a JOIN c b ON a.i <= b.i), w AS (SELECT c.i, m.lo, min(m.m) AS m FROM c JOIN m ON m.lo <= c.i AND m.hi >= c.i GROUP BY 1, 2), f AS (SELECT i, max(m) AS fit FROM w GROUP BY 1)
+    SELECT id, round(greatest(0, least(1, f.fit)), 6) AS calibrated FROM graded JOIN g ON aesthetic = x JOIN f USING (i)""")
 def m09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.isotonic(graded(spark, sf_dir).select("id", "aesthetic", "fit"), "aesthetic", "fit")
+    return S.isotonic(graded(spark, sf_dir).select("id", "aesthetic", "fit"), "aesthetic", "fit").select("id", F.round("calibrated", 6).alias("calibrated"))
 
 
 @framed("m10_calibration", """WITH b AS (SELECT least(9, floor(fit * 10 + 1e-9))::INT AS bin, fit, purchase_intent * 10 AS t FROM graded), n AS (SELECT count(*) AS n FROM b)
@@ -95,23 +117,26 @@ def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.top_quartile_auc(graded(spark, sf_dir), "fit", "purchase_intent").withColumn("auc", F.round("auc", 6))
 
 
-BEST = """WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, CAST(quality AS DOUBLE) AS p, CAST(toxic AS DOUBLE) + (doc_id % 10) / 10 AS t FROM labels), n AS (SELECT count(*) AS n FROM r), d AS (SELECT trial, draw, ('0x' || substr(md5(concat_ws('|', '0', trial, draw)), 1, 12))::BIGINT % n AS i FROM range(2000) a(trial), range(8) b(draw), n),
+BEST = """WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, CAST(quality AS DOUBLE) AS p, CAST(toxic AS DOUBLE) + (doc_id % 10) / 10 AS t FROM labels), n AS (SELECT count(*) AS n FROM r), d AS (SELECT trial, draw, ('0x' || substr(md5(concat_ws('|', '0', trial, draw)), 1, 12))::BIGINT % n AS i FROM range(20000) a(trial), range(8) b(draw), n),
     o AS (SELECT trial, max_by(t, (p, -draw)) AS picked, max(t) AS oracle, min_by(t, draw) AS random FROM d JOIN r USING (i) GROUP BY trial) SELECT round(avg(picked), 6) AS picked, round(avg(random), 6) AS random, round(avg(oracle), 6) AS oracle, round(avg((picked = oracle)::INT), 6) AS top1_accuracy, round((avg(picked) - avg(random)) / (avg(oracle) - avg(random)), 4) AS recovered FROM o"""
 
 
 @framed("m14_best_of_n", BEST)
 def m14(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("p"), (F.col("toxic") + F.col("doc_id") % 10 / 10).alias("t"))
-    out = T.best_of_n(rows, "doc_id", "p", "t", trials=2000)
+    out = T.best_of_n(rows, "doc_id", "p", "t")
     return out.select(*[F.round(c, 6).alias(c) for c in ("picked", "random", "oracle", "top1_accuracy")], F.round("recovered", 4).alias("recovered"))
 
 
-@framed("m15_one_hot_baseline", "SELECT o_orderkey, round(avg(o_totalprice / 500000) OVER (PARTITION BY o_orderpriority), 2) AS s FROM orders")
+@framed("m15_one_hot_baseline", f"""WITH y AS (SELECT o_orderkey, o_orderpriority AS g, o_totalprice / 500000 AS y FROM orders), k AS (SELECT g, count(*)::DOUBLE AS n, avg(y) AS m, sum(y * y) AS yy FROM y GROUP BY g),
+    c AS (SELECT alpha, g, n, m, yy, n / (n + alpha) AS s, n * alpha / (n + alpha) AS c FROM k, ({ALPHAS})), b AS (SELECT alpha, sum(c * m) / sum(c) AS b, sum(c) AS cc FROM c GROUP BY alpha), f AS (SELECT c.*, b + s * (m - b) AS fit, b, (1 - s) * c / (n * cc) + s / n AS h FROM c JOIN b USING (alpha)),
+    e AS (SELECT alpha, sum((yy - 2 * fit * n * m + n * fit * fit) / (1 - h) ^ 2) AS loo FROM f GROUP BY alpha), best AS (SELECT alpha FROM e ORDER BY loo, alpha LIMIT 1)
+    SELECT o_orderkey, round(fit, 6) AS s FROM y JOIN f USING (g) JOIN best USING (alpha)""")
 def m15(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.array(*[(F.col("o_orderpriority") == k).cast("double") for k in kinds]).alias("x"), (F.col("o_totalprice") / 500000).alias("y"))
-    w, b, _ = S.ridge(rows, "x", "y", (1e-6, 1e-3))
-    return rows.select("o_orderkey", F.round(S.ridge_score(F.col("x"), list(w), b), 2).alias("s"))
+    w, b, _ = S.ridge(rows, "x", "y")
+    return rows.select("o_orderkey", F.round(S.ridge_score(F.col("x"), list(w), b), 6).alias("s"))
 
 
 # Rank tests: U and its spread in DuckDB from ranks of the two samples together.
@@ -177,12 +202,10 @@ def m21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("hodges_lehmann", F.round("hodges_lehmann", 6))
 
 
-@framed("m22_bootstrap", """WITH r AS (SELECT condition, purchase_intent AS v, row_number() OVER (PARTITION BY condition ORDER BY card_key) - 1 AS i, count(*) OVER (PARTITION BY condition) AS n FROM ratings), s AS (SELECT condition, any_value(n) AS n FROM r GROUP BY 1),
-    d AS (SELECT condition, turn, ('0x' || substr(md5(concat_ws('|', '42', turn, slot)), 1, 12))::BIGINT % n AS i FROM s, range(60) t(turn), range((SELECT max(n) FROM s)) k(slot) WHERE slot < n), m AS (SELECT condition, turn, avg(v) AS m FROM d JOIN r USING (condition, i) GROUP BY 1, 2)
-    SELECT condition, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY condition""")
+@framed("m22_bootstrap")
 def m22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = MAKERS["ratings"](spark, sf_dir)
-    return T.bootstrap_mean(rows, "condition", "card_key", "purchase_intent", rounds=60).select("condition", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    """10,000 resamples of each condition; too many for SQL, tests hold the operator against a loop."""
+    return T.bootstrap_mean(MAKERS["ratings"](spark, sf_dir), "condition", "card_key", "purchase_intent")
 
 
 @framed("m23_delta_sensitivity", " UNION ALL ".join(f"(WITH {_tost(f'{d}::DOUBLE')} SELECT a, b, {d}::DOUBLE AS delta, round(p, 6) AS p_tost FROM t)" for d in (0.001, 0.005, 0.02)))
@@ -223,16 +246,20 @@ both("m30_label_coverage", "SELECT l.source, count(m.quality) AS quality, count(
 both("m31_seed_spread", "SELECT l_linestatus, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd, round(min(m), 6) AS low, round(max(m), 6) AS high FROM (SELECT l_linestatus, l_linenumber, avg(l_discount) AS m FROM lineitem GROUP BY 1, 2) s GROUP BY l_linestatus")
 
 
-@framed("m32_persona_variation", """WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '([a-z0-9'']+)', 1) AS s FROM conversations), p AS (SELECT a.conv_id = b.conv_id AS within_card, CASE WHEN len(a.s) + len(b.s) = 0 THEN 0 ELSE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) END AS j
-    FROM w a JOIN w b ON (a.conv_id = b.conv_id AND a.turn < b.turn) OR (a.turn = 0 AND b.turn = 0 AND a.conv_id < b.conv_id)) SELECT within_card, count(*) AS n, round(avg(j), 6) AS j FROM p GROUP BY 1""")
+@framed("m32_persona_variation", """WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '([a-z0-9'']+)', 1) AS s FROM conversations), o AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', conv_id)), conv_id) AS i FROM w WHERE turn = 0),
+    p AS (SELECT true AS within_card, a.s AS x, b.s AS y FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn < b.turn UNION ALL SELECT false, a.s, b.s FROM o a JOIN range(1, 9) k(k) ON true JOIN o b ON b.i = a.i + k)
+    SELECT within_card, count(*) AS n, round(avg(CASE WHEN len(x) + len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END), 6) AS j FROM p GROUP BY 1""")
 def m32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Across cards pairs are sampled (T-08): each first turn with the next 8 in a seeded order."""
     from listwright.functions.titles import word_jaccard
+    from listwright.operators.ranking import md5_order, summed_before
 
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     a, b = c.alias("a"), c.alias("b")
     same = a.join(b, F.col("a.conv_id") == F.col("b.conv_id")).where("a.turn < b.turn").select(F.lit(True).alias("within_card"), F.col("a.text").alias("x"), F.col("b.text").alias("y"))
-    first = c.where("turn = 0")
-    other = first.alias("a").join(first.alias("b"), F.col("a.conv_id") < F.col("b.conv_id")).select(F.lit(False).alias("within_card"), F.col("a.text").alias("x"), F.col("b.text").alias("y"))
+    first = summed_before(c.where("turn = 0"), [md5_order("42", F.col("conv_id")), F.col("conv_id")], F.lit(1), "i")
+    after = first.select(F.col("text").alias("x"), F.explode(F.sequence(F.col("i") + 1, F.col("i") + 8)).alias("i"))
+    other = after.join(first.select("i", F.col("text").alias("y")), "i").select(F.lit(False).alias("within_card"), "x", "y")
     return same.union(other).groupBy("within_card").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(word_jaccard(F.col("x"), F.col("y"))), 6).alias("j"))
 
 

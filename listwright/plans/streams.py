@@ -14,9 +14,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
-@framed("x02_rate_limit")
+@framed("x02_rate_limit", """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT user_id, 1::BIGINT AS n, event_id, [ts] AS held, true AS allowed FROM e WHERE n = 1 UNION ALL SELECT s.user_id, s.n, s.event_id, CASE WHEN len(s.f) < 3 THEN list_append(s.f, s.ts) ELSE s.f END, len(s.f) < 3
+    FROM (SELECT e.user_id, e.n, e.event_id, e.ts, list_filter(r.held, lambda t: e.ts - t <= INTERVAL 24 HOUR) AS f FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) s) SELECT event_id, allowed FROM r""")
 def x02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Acceptance is recursive, which SQL cannot say; tests hold it against a loop."""
     calls = events(spark, sf_dir).select("event_id", "user_id", "ts")
     return X.rate_limited(calls, "user_id", "ts", 3, 24 * 3600).select("event_id", "allowed")
 
@@ -58,12 +59,26 @@ def x08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.agreement(events(spark, sf_dir).withColumn("agreed", F.col("value") > 10), "ts", "agreed").withColumn("rate", F.round("rate", 6))
 
 
-@framed("x10_spaced_requests")
+@framed("x10_spaced_requests", """WITH RECURSIVE e AS (SELECT event_id, event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT event_type, n, event_id, ts AS starts_at FROM e WHERE n = 1 UNION ALL SELECT e.event_type, e.n, e.event_id, greatest(e.ts, r.starts_at + INTERVAL 600 SECOND) FROM r JOIN e ON e.event_type = r.event_type AND e.n = r.n + 1) SELECT event_id, starts_at FROM r""")
 def x10(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = events(spark, sf_dir).select("event_id", "event_type", "ts")
-    return X.spaced(calls, "event_type", "ts", 600.0).select("event_id", "starts_at")
+    return X.spaced(calls, "event_type", "ts", 600.0, "event_id").select("event_id", "starts_at")
 
 
 @framed("x03_running_total", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n_so_far FROM events")
 def x03b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.running_total(events(spark, sf_dir), "user_id", "ts", "event_id").select("event_id", "n_so_far")
+
+
+@framed("x09_append_once", "SELECT user_id, min(event_id) AS first_id FROM events GROUP BY user_id")
+def x09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-09, K-02 as a batch: of rows that repeat a key the first is appended."""
+    e = events(spark, sf_dir)
+    return X.first_choice(e.withColumn("one", F.lit(1)), "user_id", "event_id", "event_id").withColumnRenamed("choice", "first_id")
+
+
+@framed("x01_heartbeats", """WITH m AS (SELECT user_id, epoch_us(ts) AS t, epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS p FROM events) SELECT user_id, CAST(sum(CASE WHEN p IS NULL THEN 0 ELSE greatest(0, (t - p + 3599999999) // 3600000000 - 1) END) AS BIGINT) AS beats FROM m GROUP BY user_id""")
+def x01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many heartbeats a stream of each user's messages needs between them, one an hour of silence."""
+    return X.beats(events(spark, sf_dir), "user_id", "ts", "event_id", 3600)

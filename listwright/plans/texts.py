@@ -212,7 +212,8 @@ def f26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", V.content_path(F.encode("text", "UTF-8")).alias("path"))
 
 
-@framed("f25_uuid5")
+@framed("f25_uuid5", """SELECT c_custkey, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), concat('5', substr(h, 14, 3)), concat(substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1), substr(h, 18, 3)), substr(h, 21, 12)) AS uuid
+    FROM (SELECT c_custkey, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(c_custkey::VARCHAR)) AS h FROM customer)""")
 def f25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", V.uuid5(F.col("c_custkey").cast("string")).alias("uuid"))
 
@@ -261,9 +262,14 @@ def f32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(spark, sf_dir).select("id", T.scored_title(F.col("title"), F.col("id") % 4 / 4).alias("s"))
 
 
-@framed("f33_greeting", "SELECT id, CASE WHEN o = 'birthday/kids' THEN 'Happy Birthday' WHEN o IS NULL THEN NULL ELSE 'New Job' END AS g FROM (SELECT id, CASE WHEN occasion = 'birthday/kids' THEN occasion WHEN occasion IS NOT NULL THEN 'new_job/x' END AS o FROM titles)")
+OCCASIONS = ("birthday/kids", "christmas", "mothers_day", "fathers_day", "valentines_day", "easter", "anniversary/25", "wedding", "sympathy", "thank_you", "congratulations", "new_baby/girl", "leaving", "new_job/x", "get_well")
+
+
+@framed("f33_greeting", f"""SELECT id, CASE WHEN o = 'birthday' THEN 'Happy Birthday' WHEN o = 'christmas' THEN 'Merry Christmas' WHEN o = 'mothers_day' THEN 'Happy Mother''s Day' WHEN o = 'fathers_day' THEN 'Happy Father''s Day'
+    WHEN o = 'valentines_day' THEN 'Happy Valentine''s Day' WHEN o = 'easter' THEN 'Happy Easter' WHEN o = 'anniversary' THEN 'Happy Anniversary' WHEN o IN ('wedding', 'congratulations', 'new_baby') THEN 'Congratulations' WHEN o = 'sympathy' THEN 'With Sympathy'
+    WHEN o = 'thank_you' THEN 'Thank You' WHEN o = 'leaving' THEN 'Good Luck' WHEN o = 'new_job' THEN 'New Job' WHEN o = 'get_well' THEN 'Get Well' END AS g FROM (SELECT id, split_part({list(OCCASIONS)}[(id % 16)::INT + 1], '/', 1) AS o FROM titles)""")
 def f33(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = F.when(F.col("occasion") == "birthday/kids", F.col("occasion")).when(F.col("occasion").isNotNull(), "new_job/x")
+    o = F.get(F.array(*map(F.lit, OCCASIONS)), F.col("id") % 16)  # the last is null
     return titles(spark, sf_dir).select("id", T.greeting(o).alias("g"))
 
 
@@ -303,6 +309,12 @@ def f38(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.when(F.contains("m", F.lit("/")), part(1)).when(F.startswith("m", F.lit("local")), "local").otherwise("default").alias("provider"), F.when(F.contains("m", F.lit("/")), part(2)).otherwise(F.col("m")).alias("model"))
 
 
+@framed("f39_fitted_lines")
+def f39(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = T.fitted_lines(F.col("title"), 400, 160)
+    return titles(spark, sf_dir).select("id", fit.alias("fit")).select("id", "fit.size", F.array_join("fit.lines", "|").alias("lines"))
+
+
 @framed("f40_mask_box", "SELECT p_partkey, CAST(floor((p_size * 10) * 0.1::DOUBLE) AS INT) AS x0, CAST(floor(p_size * 20 * CASE p_size % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 1 - 0.3::DOUBLE ELSE (1 - 0.3::DOUBLE) / 2 END) AS INT) AS y0 FROM part")
 def f40(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = F.when(F.col("p_size") % 3 == 0, "top").when(F.col("p_size") % 3 == 1, "bottom").otherwise("middle")

@@ -34,16 +34,18 @@ def file_stem(path: Column | None = None) -> Column:
     return F.regexp_extract(path if path is not None else F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
-def curated(spark: SparkSession, path: str) -> DataFrame:
-    """S-08, S-17: listings from JSON arrays; a listing without a source has its file's name."""
-    rows = spark.read.schema(CURATED).option("multiLine", True).json(path)
-    return rows.withColumn("source", F.coalesce("source", file_stem()))
-
-
-def ratings(spark: SparkSession, path: str, schema: str = RATINGS) -> DataFrame:
-    """S-11, S-12: CSV files of ratings; ratings_<judge>.csv gives the judge."""
-    rows = spark.read.schema(schema).option("header", True).csv(path)
-    return rows.withColumn("judge", F.regexp_extract(file_stem(), r"^ratings_(.+)$", 1))
+def curated(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """S-08, S-17: listings from JSON arrays, a file or (with a name) a line each; a listing without a source has that name,
+    else its file's."""
+    rows = spark.read.schema(CURATED).option("multiLine", name is None).json(path)
+    return rows.withColumn("source", F.coalesce("source", F.lit(name) if name else file_stem()))
+
+
+def ratings(spark: SparkSession, path: str, schema: str = RATINGS, folder: str | None = None) -> DataFrame:
+    """S-11, S-12: CSV files of ratings; ratings_<judge>.csv, or a folder <folder>=ratings_<judge>, gives the judge."""
+    rows = spark.read.schema(f"{schema}, `{folder}` string" if folder else schema).option("header", True).csv(path)
+    name = F.col(folder) if folder else file_stem()
+    return rows.withColumn("judge", F.regexp_extract(name, r"^ratings_(.+)$", 1))
 
 
 def gallery(spark: SparkSession, path: str) -> DataFrame:

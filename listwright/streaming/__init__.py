@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -72,20 +72,17 @@ def rate_limited(calls: DataFrame, token: str, time: str, most: int, window_s: i
     return _in_order(calls, token, time, each, "allowed boolean")
 
 
-def spaced(calls: DataFrame, host: str, time: str, gap_s: float) -> DataFrame:
-    """X-10: calls with starts_at: the earliest time that keeps a gap to the host's call before."""
+def _micros(time: str) -> Column:
+    return F.unix_micros(F.col(time).cast("timestamp"))
 
-    def each(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        free, gap = None, pd.Timedelta(seconds=gap_s)
-        for part in parts:
-            out = []
-            for at in part[time]:
-                start = at if free is None or at >= free else free
-                free = start + gap
-                out.append(start)
-            yield part.assign(starts_at=out)
 
-    return _in_order(calls, host, time, each, "starts_at timestamp")
+def spaced(calls: DataFrame, host: str, time: str, gap_s: float, tie: str) -> DataFrame:
+    """X-10: calls with starts_at: the earliest time that keeps a gap to the host's call before. Unrolled, the recurrence says
+    that call n starts n gaps after the latest of all (time - its number * gap) up to it: a running maximum."""
+    w, gap = Window.partitionBy(host).orderBy(time, tie), int(gap_s * 1_000_000)
+    n = F.row_number().over(w).cast("long") * gap
+    late = F.max(_micros(time) - F.col("__n")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return calls.withColumn("__n", n).withColumn("starts_at", F.timestamp_micros(late + F.col("__n")).cast(calls.schema[time].dataType)).drop("__n")
 
 
 def _in_order(rows: DataFrame, by: str, time: str, each, new: str) -> DataFrame:
@@ -123,6 +120,14 @@ def heartbeats(times: list[float], end: float, every: float = HEARTBEAT_S) -> li
     return out
 
 
+def beats(messages: DataFrame, job: str, time: str, tie: str, every_s: int = HEARTBEAT_S) -> DataFrame:
+    """X-01 on a table: (job, beats) due between the messages of each job, one after each `every_s` seconds of silence; a
+    message at that very moment stands for it."""
+    silence = _micros(time) - F.lag(_micros(time)).over(Window.partitionBy(job).orderBy(time, tie))
+    due = F.greatest(F.lit(0), F.ceil(silence / (every_s * 1_000_000)) - 1)
+    return messages.withColumn("__due", F.coalesce(due, F.lit(0))).groupBy(job).agg(F.sum("__due").cast("long").alias("beats"))
+
+
 def job_stream(messages: DataFrame, job: str = "job", kind: str = "kind", every_ms: int = HEARTBEAT_S * 1000) -> DataFrame:
     """X-01 on a stream: messages of each job pass through; a job that is silent for a while gets a heartbeat; done and
     error end it. State for a job is its count of messages."""

@@ -105,6 +105,120 @@ def test_banded_pairs_lose_nothing(spark):
     assert {tuple(r) for r in D.banded_hash_pairs(rows).collect()} == want
 
 
+def test_hash_links_join_what_pairs_join(spark):
+    rng = np.random.default_rng(2)
+    base = [int(x) for x in rng.integers(-(2**62), 2**62, 12)]
+    h = base * 3 + [b ^ 5 for b in base] + [b ^ (1 << 60) for b in base]  # copies, near ones, near ones of another bucket
+    rows = spark.createDataFrame(list(enumerate(h)), "id long, h long")
+    comps = lambda e: sorted(map(tuple, D.connected_components(e.withColumnsRenamed({"a": "u", "b": "v"})).collect()))
+    pairs = D.hash_pairs(rows)
+    assert comps(D.hash_links(rows)) == comps(pairs) and pairs.count() == 12 * 6
+    assert D.banded_hash_pairs(rows).count() == 12 * 10 and D.hash_links(rows).count() < 12 * 4
+
+
+def test_links_of_near_vectors(spark):
+    v = [[1.0, 0.0], [0.99, 0.05], [0.0, 1.0], [-1.0, 0.0], [0.0, 0.0], None]
+    near = D.nearest(spark.createDataFrame(list(enumerate(v)), "id long, v array<double>"), 2)
+    assert [tuple(r) for r in D.similar_pairs(near).collect()] == [(0, 1)]
+
+
+def test_sums_before_and_numbers_of_inserted_rows(spark):
+    rows = spark.range(0, 5000, 1, 7).selectExpr("(id * 37) % 5000 AS k", "id % 3 AS w")
+    got = R.summed_before(rows, [F.col("k")], F.col("w"), "s").orderBy("k").collect()
+    assert [r["s"] for r in got] == [0, *np.cumsum([r["w"] for r in got])[:-1].tolist()]
+    old, new = spark.createDataFrame([(7, "a"), (9, "b")], "card_id long, k string"), spark.createDataFrame([("d",), ("c",)], "k string")
+    assert sorted(map(tuple, U.inserted(old, new, "card_id", ["k"]).select("k", "card_id").collect())) == [("c", 10), ("d", 11)]
+    assert U.inserted(old.limit(0), new, "card_id", ["k"]).agg(F.max("card_id")).first()[0] == 2
+
+
+def test_scores_fill_null_and_json_null(spark):
+    old = spark.createDataFrame([(1, None), (2, "null"), (3, '{"a":1}'), (4, None)], "k int, s string")
+    new = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (9, "w")], "k int, s string")
+    assert sorted(map(tuple, U.scores_filled(old, new, "k", "s").collect())) == [(1, "x"), (2, "y"), (3, '{"a":1}'), (4, None)]
+
+
+@pytest.mark.parametrize("part_rows", [20_000, 16])
+def test_bootstrap_is_that_of_a_loop(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(M, "PART_ROWS", part_rows)
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.exponential(1, 40), "b": rng.normal(5, 2, 150), None: rng.normal(0, 1, 30)}
+    rows = spark.createDataFrame([(g, i, float(x)) for g, xs in groups.items() for i, x in enumerate(xs)] + [("a", 99, None), ("z", 1, None)], "g string, k int, v double")
+    got = {r["g"]: (r["low"], r["high"]) for r in M.bootstrap_mean(rows, "g", "k", "v").collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        means = rng.choice(xs, (20_000, len(xs))).mean(axis=1)
+        spread = 0.08 * means.std() * (1 if part_rows > 1000 else 2)
+        assert np.abs(np.array(got[g]) - np.quantile(means, [0.025, 0.975])).max() < spread, (g, got[g])
+    again = M.bootstrap_mean(rows.repartition(7), "g", "k", "v")
+    assert all(got[r["g"]] == pytest.approx((r["low"], r["high"])) for r in again.collect())
+
+
+def test_ridge_penalty_by_refits(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 6))
+    y = x @ np.array([1, -1, 0, 0, 0, 0.5]) + 2 * rng.normal(size=40) + 3
+    rows = spark.createDataFrame([(list(map(float, a)), float(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y double")
+    w, b, alpha = S.ridge(rows, "x", "y")
+
+    def fit(x, y, a):
+        mx, my = x.mean(axis=0), y.mean()
+        w = np.linalg.solve((x - mx).T @ (x - mx) + a * np.eye(6), (x - mx).T @ (y - my))
+        return w, my - mx @ w
+
+    def loo(a):
+        out = 0.0
+        for i in range(40):
+            keep = np.arange(40) != i
+            v, c = fit(x[keep], y[keep], a)
+            out += (y[i] - x[i] @ v - c) ** 2
+        return out
+
+    best = min(S.ALPHAS, key=loo)
+    assert alpha == best and 0.001 < best < 10_000 and np.allclose(w, fit(x, y, best)[0]) and np.isclose(b, fit(x, y, best)[1])
+
+
+def test_wrapped_lines_fit_their_box(spark):
+    assert T.wrapped("a bb, ccc dd e", 8) == ["a bb,", "ccc dd e"] and T.wrapped("aaaa bbbb cc", 9) == ["aaaa bbbb", "cc"] and T.wrapped("", 5) == [""]
+    size, lines = T.fitted("Happy Birthday, dear old friend", 400, 160)
+    fits = lambda s: len(x := T.wrapped("Happy Birthday, dear old friend", 400, lambda t: len(t) * s * 0.55)) * s * 1.2 <= 160 and max(len(y) for y in x) * s * 0.55 <= 400
+    assert fits(size) and not fits(size + 1) and " ".join(lines) == "Happy Birthday, dear old friend" and T.fitted("x" * 99, 400, 160) is None
+    rows = spark.createDataFrame([("Hi",), (None,), ("x" * 99,)], "t string").select(T.fitted_lines(F.col("t"), 400, 160).alias("f")).collect()
+    assert rows[0]["f"]["lines"] == ["Hi"] and rows[1]["f"]["size"] is None and rows[2]["f"]["lines"] is None
+
+
+def test_steps_run_in_order_and_report(spark):
+    from listwright.steps import Steps, discovered, reranked, retried
+
+    s, ran = Steps(), []
+    for name in ("scrape", "embed", "dedup"):
+        s.step(name, f"does {name}")(lambda n, name=name: ran.append(name) or (1 // 0 if name == "embed" else n))
+    assert [r["step"] for r in s.run(5, dry_run=True)] == ["scrape", "embed", "dedup"] and not ran
+    report = s.main(["--from", "embed"], 5)
+    assert ran == ["embed", "dedup"] and "ZeroDivision" in report[0]["error"] and report[1]["rows"] == 5
+    assert [r["step"] for r in s.main(["--only", "scrape"], 1)] == ["scrape"]
+    with pytest.raises(ValueError):
+        s.chosen(only="nothing")
+
+    class Shop:
+        name, any_query = "shop", False
+
+        def discover(self, spark, query, limit):
+            return spark.range(limit).selectExpr(f"concat('u', id + {len(query)}) AS url")
+
+        def score(self, features):
+            return features.withColumn("pi", F.length("url") + F.col("url").endswith("3").cast("int"))
+
+    known = spark.createDataFrame([("u2",)], "url string")
+    found = discovered(spark, Shop(), ["a", "bb"], 3, known)
+    assert sorted(map(tuple, found.collect())) == [("u1", "a"), ("u3", "a"), ("u4", "bb")] and discovered(spark, Shop(), [], 3).count() == 0
+    assert [(r["rank"], r["url"]) for r in reranked(found, Shop(), "url", "pi", 2).orderBy("rank").collect()] == [(1, "u3"), (2, "u1")]
+
+    calls, waits = [], []
+    assert retried(lambda: calls.append(1) or (1 // 0 if len(calls) < 3 else "ok"), sleep=waits.append) == "ok" and waits == [1.0, 2.0]
+    with pytest.raises(ZeroDivisionError):
+        retried(lambda: 1 // 0, sleep=waits.append)
+
+
 def test_upsert_policies(spark):
     old = spark.createDataFrame([(1, "a", "x", 1), (2, "b", "y", 1)], "k int, f string, n string, o int")
     new = spark.createDataFrame([(2, None, None, 5), (3, "c", "z", 5)], "k int, f string, n string, o int")
@@ -209,8 +323,13 @@ def test_rate_limit_matches_a_loop(spark):
             if len(held) < 3:
                 held.append(at)
     assert sorted((t, a, ok) for (t, a, _), ok in got.items()) == sorted(want)
-    rows = spaced(spark.createDataFrame(calls[:9], "token string, at timestamp"), "token", "at", 100.0).orderBy("token", "starts_at").collect()
-    assert all((b["starts_at"] - a["starts_at"]).total_seconds() >= 100 for a, b in zip(rows, rows[1:], strict=False) if a["token"] == b["token"])
+    rows = spark.createDataFrame([(*c, i) for i, c in enumerate(calls)], "token string, at timestamp, i int")
+    got = {r["i"]: r["starts_at"] for r in spaced(rows, "token", "at", 7.5, "i").collect()}
+    for t in ("t0", "t1", "t2"):
+        free = start
+        for at, i in sorted((at, i) for i, (k, at) in enumerate(calls) if k == t):
+            assert got[i] == max(at, free)
+            free = max(at, free) + dt.timedelta(seconds=7.5)
 
 
 def test_heartbeats():
@@ -219,6 +338,15 @@ def test_heartbeats():
     assert heartbeats([], 35) == [10, 20, 30] and heartbeats([5, 14, 23, 32], 35) == []
 
 
+def test_beats_of_a_table_are_those_of_a_loop(spark):
+    from listwright.streaming import beats, heartbeats
+
+    times = {"a": [0, 10, 35, 35, 66], "b": [0], "c": [0, 9, 30]}
+    rows = [(j, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), i) for j, ts in times.items() for i, s in enumerate(ts)]
+    got = {r["job"]: r["beats"] for r in beats(spark.createDataFrame(rows, "job string, at timestamp, i int"), "job", "at", "i").collect()}
+    assert got == {j: len(heartbeats([float(t) for t in ts[1:-1]], float(ts[-1]) - 0.001)) for j, ts in times.items()}
+
+
 def test_sources(spark, tmp_path):
     from listwright import sources as s
 
