@@ -29,7 +29,7 @@ def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", "url", "title", "price_minor_units")
 
 
-@framed("s11_ratings_csv", "SELECT CAST(card_key AS VARCHAR) AS card_key, condition, occasion, round(purchase_intent, 6) AS purchase_intent, CASE WHEN card_key % 2 = 0 THEN 'a' ELSE 'b' END AS judge FROM ratings")
+@framed("s11_ratings_csv", "SELECT CAST(card_key AS VARCHAR) AS card_key, condition, occasion, purchase_intent, CASE WHEN card_key % 2 = 0 THEN 'a' ELSE 'b' END AS judge FROM ratings")
 def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-11, S-12, K-16: ratings written as CSV with a header, a folder for each judge, and read as one table."""
     path = fresh_dir(spark, "ratings")
@@ -37,7 +37,7 @@ def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = [F.lit(None).cast("double").alias(c) for c in ("occasion_fit", "aesthetic", "emotional_resonance", "distinctiveness")]
     rows = r.select(F.col("card_key").cast("string").alias("card_key"), "condition", "occasion", *empty, "purchase_intent", F.concat(F.lit("ratings_"), "judge").alias("file"))
     U.reported(rows, path, "csv", "file")
-    return sources.ratings(spark, path, folder="file").select("card_key", "condition", "occasion", F.round("purchase_intent", 6).alias("purchase_intent"), "judge")
+    return sources.ratings(spark, path, folder="file").select("card_key", "condition", "occasion", "purchase_intent", "judge")
 
 
 @framed("s13_gallery", "SELECT source, concat('/img/', listing_id, '.png') AS src, concat('card ', listing_id) AS caption FROM listings")
@@ -52,11 +52,11 @@ def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("src", "caption").join(listings(spark, sf_dir).select(F.concat(F.lit("card "), n).alias("caption"), "source"), "caption")
 
 
-@framed("s14_training_log", "SELECT CAST(o_orderkey % 5 AS INT) AS seed, CAST(o_orderkey AS INT) AS epoch, round(o_totalprice / 1000, 3) AS loss, round(o_totalprice / 1000000, 5) AS rho FROM orders")
+@framed("s14_training_log", "SELECT CAST(o_orderkey % 5 AS INT) AS seed, CAST(o_orderkey AS INT) AS epoch, (o_orderkey % 997) / 8 AS loss, (o_orderkey % 31) / 32 AS rho FROM orders")
 def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "log")
     o = table(spark, sf_dir, "orders")
-    line = F.format_string("seed=%d epoch=%d train_loss=%.3f val_pi_rho=%.5f", F.col("o_orderkey") % 5, "o_orderkey", F.round(F.col("o_totalprice") / 1000, 3), F.round(F.col("o_totalprice") / 1000000, 5))
+    line = F.format_string("seed=%d epoch=%d train_loss=%.3f val_pi_rho=%.5f", F.col("o_orderkey") % 5, "o_orderkey", F.col("o_orderkey") % 997 / 8, F.col("o_orderkey") % 31 / 32)
     fewer(o.select(F.explode(F.array(line, F.lit("INFO other"))).alias("value"))).write.text(path)
     return sources.training_log(spark, path)
 
