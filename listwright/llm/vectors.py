@@ -22,6 +22,8 @@ SAMPLE_ROWS, MOST_CENTROIDS, ROUNDS = 30_000, 8192, 6
 DEGREE, NEAREST, FAR, ALPHA, BEAM, BLOCK = 20, 48, 8, 1.2, 16, 128
 #: Shards a vector belongs to, at first and at most; audited queries (twice) and the recall below which shards overlap more.
 OVERLAP, MOST_OVERLAP, AUDIT, LEAST_RECALL = 2, 4, 256, 0.97
+#: Edges that one step of the expansion looks at, which bounds its memory whatever the degrees.
+WAVE = 1 << 21
 #: Audited vectors with few neighbours have at most so many.
 FEW = 8
 
@@ -124,12 +126,12 @@ def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: f
         held, cos, done = (np.take_along_axis(a, top, axis=1) for a in (ids, sims, flags))
     found[rows, queries] = True
     seen[rows, queries] = True
-    wave = found.copy()
+    wave, step = found.copy(), max(1, WAVE // graph.shape[1])
     while wave.any():
         r, u = np.nonzero(wave)
         wave = np.zeros_like(found)
-        for at in range(0, len(r), 65536):
-            rr, near = np.repeat(r[at : at + 65536], graph.shape[1]), graph[u[at : at + 65536]].ravel()
+        for at in range(0, len(r), step):
+            rr, near = np.repeat(r[at : at + step], graph.shape[1]), graph[u[at : at + step]].ravel()
             new = ~seen[rr, near]
             code = np.unique(rr[new] * n + near[new])
             rr, v = code // n, code % n
