@@ -37,7 +37,8 @@ CRC_START, CRC_POLYNOMIAL = 0xFFFF, 0x8005
 
 @dataclass(frozen=True)
 class Header:
-    """One frame header: version 3 is MPEG-1, 2 is MPEG-2, 0 is MPEG-2.5; size is the whole frame's, in bytes."""
+    """One frame header: version 3 is MPEG-1, 2 is MPEG-2, 0 is MPEG-2.5; size is the whole frame's, in bytes; bound is the
+    first subband of Layer I that both channels share (32: none)."""
 
     version: int
     layer: int
@@ -48,12 +49,21 @@ class Header:
     mono: bool
     samples: int
     size: int
+    bound: int
 
     @property
     def side(self) -> int:
         """Bytes of Layer III side information."""
         return (17 if self.mono else 32) if self.version == 3 else (9 if self.mono else 17)
 
+    @property
+    def guarded(self) -> int | None:
+        """Bytes behind the checksum that it covers: side information, or Layer I's bit allocation. Those of Layer II depend
+        on its allocation tables and are not known here."""
+        if self.layer == 3:
+            return self.side
+        return (16 if self.mono else (self.bound + 32) // 2) if self.layer == 1 else None
+
     @property
     def kin(self) -> tuple:
         """What all frames of one stream have in common."""
@@ -72,7 +82,8 @@ def header(word: bytes) -> Header | None:
     kbits, hertz, padding = (KBITS_V1 if version == 3 else KBITS_V2)[layer][rate], HERTZ[version][hz], word[2] >> 1 & 1
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
     size = (12000 * kbits // hertz + padding) * 4 if layer == 1 else samples // 8 * kbits * 1000 // hertz + padding
-    return Header(version, layer, not word[1] & 1, kbits, hertz, padding, word[3] >> 6 == 3, samples, size)
+    bound = 4 * (word[3] >> 4 & 3) + 4 if word[3] >> 6 == 1 else 32
+    return Header(version, layer, not word[1] & 1, kbits, hertz, padding, word[3] >> 6 == 3, samples, size, bound)
 
 
 @cache
@@ -171,25 +182,45 @@ class Audio:
         return self.offsets[int(second * self.hertz) * len(self.offsets) // self.samples]
 
 
+def _text(part: bytes) -> tuple[str, str]:
+    """(description, value) of a user text: Latin-1, UTF-16 with or without a mark, or UTF-8."""
+    kind = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(part[0] if part else 0, "latin-1")
+    wide = kind.startswith("utf-16")
+    body, at = part[1:], -1
+    if not wide:
+        at = body.find(b"\0")
+    else:
+        at = next((i for i in range(0, len(body) - 1, 2) if body[i : i + 2] == b"\0\0"), -1)
+    key, value = (body, b"") if at < 0 else (body[:at], body[at + 1 + wide :])
+    return key.decode(kind, "replace"), value.decode(kind, "replace").rstrip("\0")
+
+
 def _id3(data: bytes, at: int) -> tuple[int, dict[str, str]]:
-    """(bytes of the ID3v2 tag at a place, its user texts); 0 bytes if there is none."""
-    if data[at : at + 3] != b"ID3" or len(data) < at + 10 or max(data[at + 6 : at + 10]) > 0x7F:
+    """(bytes of the ID3v2 tag at a place, its user texts); 0 bytes if there is none. Versions 2.2 to 2.4; where the flags say
+    so, the zeros that were put behind FF bytes are taken out again."""
+    if data[at : at + 3] != b"ID3" or len(data) < at + 10 or max(data[at + 6 : at + 10]) > 0x7F or data[at + 3] not in (2, 3, 4):
         return 0, {}
     version, flags = data[at + 3], data[at + 5]
     size = _from_syncsafe(data[at + 6 : at + 10])
     body, found, i = data[at + 10 : at + 10 + size], {}, 0
-    if flags & 0x40 and len(body) >= 4:  # an extended header
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    if flags & 0x40 and version > 2 and len(body) >= 4:  # an extended header
         i = _from_syncsafe(body[:4]) if version == 4 else int.from_bytes(body[:4], "big") + 4
-    while i + 10 <= len(body) and body[i]:
-        name, raw = body[i : i + 4], body[i + 4 : i + 8]
+    user, head = (b"TXX", 6) if version == 2 else (b"TXXX", 10)
+    while i + head <= len(body) and body[i]:
+        raw = body[i + len(user) : i + 2 * len(user)]
         n = _from_syncsafe(raw) if version == 4 else int.from_bytes(raw, "big")
-        part = body[i + 10 : i + 10 + n]
-        if name == b"TXXX" and part[:1] in (b"\0", b"\x03"):
-            key, _, value = part[1:].partition(b"\0")
-            kind = "utf-8" if part[0] else "latin-1"
-            found[key.decode(kind, "replace")] = value.rstrip(b"\0").decode(kind, "replace")
-        i += 10 + n
-    return 10 + size + (10 if flags & 0x10 else 0), found
+        part = body[i + head : i + head + n]
+        if version == 4 and body[i + 9] & 2:
+            part = part.replace(b"\xff\0", b"\xff")
+        if version == 4 and body[i + 9] & 1:  # its length without those zeros stands first
+            part = part[4:]
+        if body[i : i + len(user)] == user:
+            key, value = _text(part)
+            found[key] = value
+        i += head + n
+    return 10 + size + (10 if flags & 0x10 and version == 4 else 0), found
 
 
 def _info(frame: bytes, h: Header) -> dict | None:
@@ -245,7 +276,7 @@ def audio_of(data: bytes) -> Audio:
             continue
         frame, kin = data[at : at + h.size], h.kin
         start = 4 + 2 * h.protected
-        if h.protected and h.layer == 3 and crc16(frame[2:4] + frame[6 : 6 + h.side]) != int.from_bytes(frame[4:6], "big"):
+        if h.protected and h.guarded is not None and crc16(frame[2:4] + frame[6 : 6 + h.guarded]) != int.from_bytes(frame[4:6], "big"):
             out.bad_crc.append(at)
         info = _info(frame, h) if first and h.layer == 3 else None
         first = False

@@ -188,6 +188,64 @@ def test_audio_frames():
     assert mpeg.crc16(b"") == 0xFFFF and mpeg.header(b"\xff\xfb\x90\x00").size == 417
 
 
+def walked(m):
+    """(samples, frame sizes, offsets, ancillary bytes) by a parser of its own: MPEG-1 Layer III at 32 kHz, mono, protected."""
+    kbits = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+    at = 10 + (m[6] << 21 | m[7] << 14 | m[8] << 7 | m[9])
+    offsets, body, end = [], b"", len(m) - 128
+    assert m[:3] == b"ID3" and m[end : end + 3] == b"TAG"
+    while at < end:
+        assert m[at : at + 2] == b"\xff\xfa" and m[at + 2] & 0x0F == 8 and m[at + 3] == 0xC0
+        size = 144 * kbits[m[at + 2] >> 4] * 1000 // 32000
+        offsets.append(at)
+        body += m[at + 23 : at + size] if len(offsets) > 1 else b""
+        at += size
+    assert at == end and int.from_bytes(m[offsets[0] + 31 : offsets[0] + 35], "big") == len(offsets) - 1 and m[offsets[0] + 23 : offsets[0] + 27] == b"Xing"
+    return offsets[1:], body
+
+
+def test_media_query_against_another_parser(spark, sf):
+    media = {r["key"]: bytes(r["media"]) for r in mpeg.stored(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    rows = QUERIES["op10_mpeg"](spark, sf).collect()
+    assert len(rows) == len(media)
+    for r in rows:
+        m = media[r["doc_id"]]
+        offsets, body = walked(m)
+        seek, n = zlib.crc32(np.array(offsets, "<i8").tobytes()), len(offsets)
+        assert hashlib.sha256(body[: r["payload_bytes"]]).hexdigest() == r["payload_sha256"] and not any(body[r["payload_bytes"] :])
+        assert (r["media_bytes"], r["media_sha256"]) == (len(m), hashlib.sha256(m).hexdigest())
+        sizes = {b - a for a, b in zip(offsets, [*offsets[1:], len(m) - 128], strict=True)}
+        assert r["feature"] == f"frames={n};hertz=32000;samples={1152 * n};us={36_000 * n};vbr={int(len(sizes) > 1)};seek={seek:08x}"
+
+
+def test_tags_of_all_versions():
+    m = mpeg.media_of(b"x" * 640, 640)
+    plain = m[10 + mpeg._from_syncsafe(m[6:10]) :]
+    old = b"\x00a\0\xe9\xff\0t"
+    tag2 = b"TXX" + len(old.replace(b"\xff\0", b"\xff")).to_bytes(3, "big") + old
+    wide = b"\x01" + "ключ".encode("utf-16") + b"\0\0" + "знач".encode("utf-16")
+    tag3 = b"TXXX" + len(wide).to_bytes(4, "big") + b"\0\0" + wide
+    late = b"\x00b\0\xff\0z"
+    tag4 = b"TXXX" + mpeg._syncsafe(len(late) + 4) + b"\0\x03" + mpeg._syncsafe(len(late) - 1) + late
+    wanted = [(2, 0x80, tag2, {"a": "é\xfft"}), (3, 0, tag3, {"ключ": "знач"}), (3, 0x80, tag3.replace(b"\xff", b"\xff\0"), {"ключ": "знач"}), (4, 0, tag4, {"b": "\xffz"})]
+    for version, flags, tag, want in wanted:
+        data = b"ID3" + bytes((version, 0, flags)) + mpeg._syncsafe(len(tag)) + tag + plain
+        a = mpeg.audio_of(data)
+        assert a.tags == want and not a.gaps and a.offsets, (version, a.tags)
+
+
+def test_checksums_of_layer_one():
+    for mode, guarded in ((0xC0, 16), (0x00, 32), (0x40, 18), (0x70, 24)):
+        word = bytes((0xFF, 0xFE, 4 << 4, mode))
+        h = mpeg.header(word)
+        assert (h.layer, h.protected, h.guarded, h.size) == (1, True, guarded, 12000 * 128 // 44100 * 4)
+        body = bytes(range(1, 1 + h.size - 6))
+        frame = word + mpeg.crc16(word[2:4] + body[:guarded]).to_bytes(2, "big") + body
+        bad = word + b"\0\0" + body
+        a = mpeg.audio_of(frame * 2 + bad + frame)
+        assert a.bad_crc == [2 * h.size] and len(a.offsets) == 4 and a.samples == 4 * 384
+
+
 def test_audio_damage():
     m = mpeg.media_of(b"x" * 6400, 6400)
     whole = mpeg.audio_of(m)
