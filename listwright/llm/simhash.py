@@ -382,7 +382,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most:
     grouped = groups.where("component is not null").groupBy("component").agg(F.min("first").alias("first")).select("first")
     mark, id_ = free_name(numbered, "first_mark"), free_name(numbered, "first_id")
     kept = alone.union(grouped).select(F.col("first.mark").alias(mark), F.col("first.id").alias(id_))
-    here = (F.col(marked) == F.col(mark)) & F.col(f"`{key}`").eqNullSafe(F.col(id_))
+    k = F.col(f"`{key}`")  # not as an equality: so rows are dealt by their mark alone, once for both steps
+    here = (F.col(marked) == F.col(mark)) & (((k >= F.col(id_)) & (k <= F.col(id_))) | (k.isNull() & F.col(id_).isNull()))
     return numbered.join(kept, here, "left_semi").dropDuplicates([marked, key]).drop(marked)
 
 
