@@ -55,16 +55,17 @@ def mann_whitney(pairs: DataFrame, by: list[str] = ()) -> DataFrame:
     key = [*by, "a", "b"]
     before = Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     won = F.col("na") * (F.coalesce(F.sum("nb").over(before), F.lit(0)) + F.col("nb") / 2)
-    t = F.col("na") + F.col("nb")
-    sums = pairs.select(*key, "na", "nb", won.alias("won"), (t * t * t - t).cast("double").alias("tie")).groupBy(*key).agg(
+    t = (F.col("na") + F.col("nb")).cast("double")  # as longs, t * t * t overflows from 2,097,152 equal values on
+    sums = pairs.select(*key, "na", "nb", won.alias("won"), (t * (t * t - 1)).alias("tie")).groupBy(*key).agg(
         F.sum("won").alias("u"), F.sum("na").alias("n1"), F.sum("nb").alias("n2"), F.sum("tie").alias("ties"))
-    n = F.col("n1") + F.col("n2")
-    spread = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    off = F.col("u") - F.col("n1") * F.col("n2") / 2
+    n = (F.col("n1") + F.col("n2")).cast("double")
+    couples = F.col("n1").cast("double") * F.col("n2")
+    spread = F.sqrt(couples / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    off = F.col("u") - couples / 2
     z = lambda d: F.try_divide(d - 0.5, spread)
     at_most_one = lambda p: F.least(F.lit(1.0), F.coalesce(p, F.lit(1.0)))
     return sums.select(
-        *key, "n1", "n2", "u", (1 - 2 * F.col("u") / (F.col("n1") * F.col("n2"))).alias("rank_biserial"),
+        *key, "n1", "n2", "u", (1 - 2 * F.col("u") / couples).alias("rank_biserial"),
         at_most_one(2 * normal_tail(z(F.abs(off)))).alias("p_two"), at_most_one(normal_tail(z(-off))).alias("p_less"), at_most_one(normal_tail(z(off))).alias("p_greater"),
     )
 

@@ -240,6 +240,22 @@ def test_mann_whitney_signs_and_p(spark):
     assert same["rank_biserial"] == 0 and same["p_two"] == 1.0
 
 
+def many_equal(spark, values=(0.0, 0.0, 0.0)):
+    """Three groups of 1,200,000 equal values each: the cube of two groups' count does not fit a long."""
+    g, v = F.array(*map(F.lit, "ABC")), F.array(*map(F.lit, values))
+    return spark.range(3_600_000).select(F.get(g, F.col("id") % 3).alias("g"), F.get(v, F.col("id") % 3).alias("v"))
+
+
+def test_mann_whitney_of_many_equal_values(spark):
+    rows = many_equal(spark).union(ratings(spark, {"A": range(1, 101)}))
+    got = {(r["a"], r["b"]): r for r in M.pairwise(rows, "g", "v").collect()}
+    n1, n2, t = 1_200_100, 1_200_000, 2_400_000
+    u, n = 1_200_000 * 600_000 + 100 * 1_200_000, n1 + n2
+    z = (u - n1 * n2 / 2 - 0.5) / math.sqrt(n1 * n2 / 12 * (n + 1 - (t**3 - t) / (n * (n - 1))))
+    assert got["A", "B"]["u"] == u and math.isclose(got["A", "B"]["p_two"], math.erfc(z / math.sqrt(2)), rel_tol=1e-6)
+    assert got["B", "C"]["p_two"] == 1.0 and len(got) == 3
+
+
 def test_holm(spark):
     df = ratings(spark, {"A": range(12), "B": range(3, 15), "C": range(6, 18), "D": range(9, 21), "E": [1, 2]})
     got = M.holm(M.pairwise(df, "g", "v"), "p_two").collect()
