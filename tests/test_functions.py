@@ -263,6 +263,11 @@ def test_holm(spark):
     assert {(r["a"], r["b"]) for r in got} == {(a, b) for a in "ABCD" for b in "ABCD" if a < b}
 
 
+def test_holm_of_many_equal_values(spark):
+    got = M.holm(M.pairwise(many_equal(spark), "g", "v"), "p_two").collect()
+    assert {(r["a"], r["b"]): r["p_holm"] for r in got} == {("A", "B"): 1.0, ("A", "C"): 1.0, ("B", "C"): 1.0}
+
+
 def test_hodges_lehmann_is_the_offset(spark):
     df = ratings(spark, {"A": [1, 2, 3, 4], "B": [1.5, 2.5, 3.5, 4.5]})
     assert M.hodges_lehmann(M.pair_counts(df, "g", "v", least=1)).first()["hodges_lehmann"] == -0.5
