@@ -280,6 +280,11 @@ def test_equivalence_grows_with_the_margin(spark):
     assert ps[0] > ps[1] > ps[2] and ps[2] < 0.05
 
 
+def test_equivalence_of_many_equal_values(spark):
+    got = {(r["a"], r["b"]): r for r in M.equivalence(many_equal(spark, (0.0, 0.5, 1.0)), "g", "v", 0.5).collect()}
+    assert len(got) == 3 and not any(r["equivalent"] for r in got.values()) and got["A", "B"]["p_tost"] == 1.0
+
+
 def test_spearman_guards(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 4.0), (3.0, 9.0), (None, 1.0)], "x double, y double")
     assert M.spearman(df, "x", "y").first()["rho"] == pytest.approx(1.0)
