@@ -285,6 +285,11 @@ def test_equivalence_of_many_equal_values(spark):
     assert len(got) == 3 and not any(r["equivalent"] for r in got.values()) and got["A", "B"]["p_tost"] == 1.0
 
 
+def test_sensitivity_of_many_equal_values(spark):
+    got = {(r["a"], r["b"], r["delta"]): r["first_delta"] for r in M.sensitivity(many_equal(spark, (0.0, 0.25, 0.25)), "g", "v", [0.25, 0.5]).collect()}
+    assert len(got) == 6 and got["A", "B", 0.5] == 0.5 and got["B", "C", 0.25] == 0.25
+
+
 def test_spearman_guards(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 4.0), (3.0, 9.0), (None, 1.0)], "x double, y double")
     assert M.spearman(df, "x", "y").first()["rho"] == pytest.approx(1.0)
