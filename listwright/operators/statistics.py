@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listwright.operators.ranking import average_ranks, summed_before
+from listwright.sources.shared import written
 
 # Coefficients of Hart's rational approximation of the normal distribution in double precision.
 HART_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
@@ -110,8 +111,10 @@ def sensitivity(df: DataFrame, group: str, value: str, grid: list[float]) -> Dat
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] = (), least: int = 3) -> DataFrame:
-    """M-11: rank correlation of complete rows; null below `least` rows or without spread."""
-    whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    """M-11: rank correlation of complete rows; null below `least` rows or without spread.
+
+    The rows are written first: ranks are joined by value, and a mean that is made twice may differ in its last bits."""
+    whole = written(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y")), "ranked")
     ranks = average_ranks(average_ranks(whole, "__x", by, "rx"), "__y", by, "ry")
     return ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))).alias("rho"))
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 import time
 import uuid
 
@@ -297,6 +298,12 @@ def test_spearman_guards(spark):
     assert M.spearman(df.withColumn("y", F.lit(1.0)), "x", "y").first()["rho"] is None
 
 
+def test_spearman_of_values_that_change_when_made_again(spark):
+    unsteady = F.udf(lambda i: i + random.random() / 1000, "double").asNondeterministic()
+    df = spark.range(10).select(unsteady("id").alias("x"), unsteady("id").alias("y"))
+    assert tuple(M.spearman(df, "x", "y").first()) == (10, pytest.approx(1.0))
+
+
 def test_calibration(spark):
     df = spark.createDataFrame([(0.9, 0.0)] * 10 + [(1.0, 1.0)] * 10, "p double, t double")
     bins = M.calibration_bins(df, "p", "t").collect()
