@@ -81,9 +81,12 @@ def cached_pages(spark: SparkSession, path: str, ttl_days: int = 30) -> DataFram
     return rows.select(file_stem(F.col("path")).alias("key"), F.col("content").cast("string").alias("html"))
 
 
-def from_cache(urls: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
-    """S-16: pages of known URLs, to be parsed again."""
-    return urls.withColumn("key", url_key(F.col(url))).join(pages, "key").drop("key")
+def from_cache(urls: DataFrame, pages: DataFrame, url: str = "url", version: str | None = None) -> DataFrame:
+    """S-16: pages of known URLs, to be parsed again. Where a URL is kept with several contents, the column version of both
+    tables tells them apart. Pages without a URL are kept under an empty key."""
+    keyed = urls.withColumn("key", F.coalesce(url_key(F.col(url)), F.lit("")))
+    names = ["key", version] if version else ["key"]
+    return keyed.join(pages, names).drop(*names)
 
 
 def dumped(tables: dict[str, DataFrame], path: str) -> None:

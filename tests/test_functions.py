@@ -423,3 +423,12 @@ def test_job_stream_passes_messages_and_ends(spark, tmp_path):
         time.sleep(0.5)
     q.stop()
     assert spark.sql("select * from jobs where kind <> 'heartbeat'").count() == 3
+
+
+def test_pages_of_one_url_keep_their_own_content(spark, tmp_path):
+    from listwright import plans
+
+    rows = [(2, "u", "a"), (4, "u", "bbb"), (6, "u", "bbb"), (8, None, "cc"), (10, "w", None), (1, "u", "odd")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = plans.queries()["s16_reparsed_pages"](spark, str(tmp_path))
+    assert sorted((r["page_id"], r["n"]) for r in got.collect()) == [(2, 1), (4, 3), (6, 3), (8, 2)]
