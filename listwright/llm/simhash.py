@@ -47,12 +47,28 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
     for at in range(0, n, _PIECE):
         spans = zip(starts[at : at + _PIECE].tolist(), stops[at : at + _PIECE].tolist(), strict=False)
-        h = np.array([digest(line[s:e], SEED) for s, e in spans], dtype="<u8")
-        cells = h.view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256, dtype=np.int64)
-        ones += (np.bincount(cells.ravel(), minlength=2048).reshape(8, 256) @ _BITS_OF).ravel()
+        ones += _ones(np.array([digest(line[s:e], SEED) for s, e in spans], dtype="<u8"))
+    return _majority(ones, n)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    cells = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256, dtype=np.int64)
+    return (np.bincount(cells.ravel(), minlength=2048).reshape(8, 256) @ _BITS_OF).ravel()
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles by their hashes; 0 for none."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), _PIECE):
+        ones += _ones(hashes[at : at + _PIECE])
+    return _majority(ones, len(hashes))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -339,13 +355,20 @@ def _alike_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield links()
 
 
+def trie_groups(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """nodes with their group: the smallest fingerprint fp that links within the budget reach, itself included."""
+    parts = connected_components(fingerprint_links(nodes.select("fp").distinct(), budget))
+    return nodes.join(parts.withColumnRenamed("node", "__fp"), F.col("fp") == F.col("__fp"), "left").withColumn("group", F.coalesce("component", "fp")).drop("__fp", "component")
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_ALIKE) -> DataFrame:
     """docs without the rows that have an earlier near-duplicate: one row of each component stays, that of its smallest
     key; of rows that repeat this key, the one whose values hash lowest. Rows with null keys count as largest.
 
-    Rows link when their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates share a block of
-    a MinHash fingerprint; each is verified on the whole sets. Equal sets are one node; nodes of the same block value
-    are compared in one task up to `most`, and as pairs of parts of that size beyond."""
+    Rows link when their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates are joined by the
+    trie of the sets' SimHash fingerprints (near_duplicates' step, with its budget); similar sets beyond the budget share
+    a block of a MinHash fingerprint. Each candidate is verified on the whole sets. Equal sets are one node; nodes of the
+    same group or block value are compared in one task up to `most`, and as pairs of parts of that size beyond."""
     marked = free_name(docs, "mark")
     numbered = docs.withColumn(marked, F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith(("map", "variant"))]))
     pick = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("mark"))
@@ -355,7 +378,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most:
         for b in batches:
             sets = [shingle_hashes(t) for t in b["text"]]
             nodes = np.array([_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets], dtype=np.int64)
-            yield pd.DataFrame({"id": b["id"], "mark": b["mark"], "node": nodes, "blocks": [sketch(x) for x in sets]})
+            fps = np.array([_signed(set_fingerprint(x)) for x in sets], dtype=np.int64)
+            yield pd.DataFrame({"id": b["id"], "mark": b["mark"], "node": nodes, "fp": fps, "blocks": [sketch(x) for x in sets]})
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -363,9 +387,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most:
 
     tune(docs.sparkSession)
     rows = numbered.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(marked).alias("mark"))
-    prints = rows.mapInPandas(each, f"id {ids}, mark long, node long, blocks array<long>")
-    nodes = written(prints.groupBy("node").agg(F.min(pick).alias("first"), F.first("blocks").alias("blocks")), "alike-nodes")
-    blocks = nodes.select("node", F.explode("blocks").alias("unit"))
+    prints = rows.mapInPandas(each, f"id {ids}, mark long, node long, fp long, blocks array<long>")
+    nodes = written(prints.groupBy("node").agg(F.min(pick).alias("first"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks")), "alike-nodes")
+    blocks = nodes.select("node", F.explode("blocks").alias("unit")).unionByName(trie_groups(nodes).select("node", F.xxhash64(F.lit("trie"), "group").alias("unit")))
     members = [F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2)]]
     shared = blocks.groupBy("unit").agg(*members).where("n > 1")
     shared = shared.groupBy("n", "x1", "x2").agg(F.min("unit").alias("unit"))  # blocks of the same nodes: one of them

@@ -59,3 +59,23 @@ def test_stages(spark, sf, tmp_path):
 
 def test_run(spark, sf):
     assert c.run(spark, sf).count() > 0 and c.ORACLE_SQL is None
+
+
+def test_near_duplicates_come_by_the_trie_too(spark, monkeypatch):
+    """Without any MinHash block, near copies within the fingerprint's budget are found still; others wait for the blocks."""
+    from listwright.llm import simhash
+
+    words = [f"w{i}" for i in range(3000)]
+    near = [*words[:1500], "other", *words[1501:]]
+    far = [w + "x" if i % 60 == 0 else w for i, w in enumerate(words)]
+    a, b, c = (simhash.shingle_hashes(" ".join(x)) for x in (words, near, far))
+    fps = [simhash.set_fingerprint(x) for x in (a, b, c)]
+    assert (fps[0] ^ fps[1]).bit_count() <= simhash.BUDGET < (fps[0] ^ fps[2]).bit_count()
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((words, near, far, ["alone"]))], "doc_id long, text string")
+    assert len(simhash.alike([a, c])) == 1
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == [0, 3]
+    nodes = spark.createDataFrame([(i, simhash._signed(f)) for i, f in enumerate(fps)], "node long, fp long")
+    got = {r["node"]: r["group"] for r in simhash.trie_groups(nodes).collect()}
+    assert got[0] == got[1] != got[2]
+    monkeypatch.setattr(simhash, "sketch", lambda hashes: [])
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == [0, 2, 3]
