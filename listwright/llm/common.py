@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from listwright.sources.shared import dropped, fewer, forgotten, fresh_dir, shared_dir, shipped, written
+from listwright.sources.shared import dropped, fewer, forgotten, fresh_dir, shared_dir, shipped, swept, written
 
-__all__ = ["buckets_for", "dropped", "fewer", "forgotten", "free_name", "fresh_dir", "opened", "ranked", "shared_dir", "tune", "written"]
+__all__ = ["buckets_for", "dropped", "fewer", "forgotten", "free_name", "fresh_dir", "opened", "ranked", "shared_dir", "swept", "tune", "written"]
 
 #: Rows of one Arrow batch. Texts may be long, so batches are kept small.
 BATCH_ROWS = 512

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm.common import fewer, free_name, tune, written
+from listwright.llm.common import fewer, free_name, swept, tune, written
 from listwright.operators.graph import connected_components
 
 BITS, BUDGET, SEED, WORDS = 64, 4, 42, 4
@@ -397,11 +397,15 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most:
     units = units.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("mate", F.explode(F.expr("sequence(0, parts - 1)")))
     units = written(units.select("unit", F.least("part", "mate").alias("lo"), F.greatest("part", "mate").alias("hi"), "node"), "alike-units")
     texts = nodes.join(units.select("node").distinct(), "node").select("node", F.col("first.id").alias("__id"), F.col("first.mark").alias("__mark"))
-    texts = rows.join(texts, (F.col("mark") == F.col("__mark")) & F.col("id").eqNullSafe(F.col("__id"))).select("node", "text").dropDuplicates(["node"])
+    i, at = F.col("id"), F.col("__id")  # as below: texts are dealt by their mark alone, and a node has one mark
+    same = (F.col("mark") == F.col("__mark")) & (((i >= at) & (i <= at)) | (i.isNull() & at.isNull()))
+    texts = rows.join(texts, same).select("node", "mark", "text").dropDuplicates(["node", "mark"]).select("node", "text")
     sets = texts.mapInPandas(again, "node long, hashes array<long>")
     unit = ["unit", "lo", "hi"]
     links = units.join(sets, "node").repartition(*unit).sortWithinPartitions(*unit).mapInPandas(_alike_partition, "u long, v long")
-    groups = nodes.join(connected_components(links).withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
+    parts = connected_components(links).withColumnRenamed("node", "at")
+    swept(docs.sparkSession)  # of the shuffled texts and sets, before whole documents are shuffled
+    groups = nodes.join(parts, F.col("node") == F.col("at"), "left")
     alone = groups.where("component is null").select("first")
     grouped = groups.where("component is not null").groupBy("component").agg(F.min("first").alias("first")).select("first")
     mark, id_ = free_name(numbered, "first_mark"), free_name(numbered, "first_id")
