@@ -11,6 +11,8 @@ from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from listwright.llm.tokens import IDS, encoder, vocabulary
 SCALE, LOW = 20, 31
 #: Ids of a block, lanes that are interleaved in a full block, ids of one file, and blocks that one task of a reader decodes.
 BLOCK, LANES, FILE_IDS, UNIT_BLOCKS = 1 << 19, 4096, 1 << 24, 4
+#: Bytes of texts whose ids are made together, and a text more at most.
+GATHERED = 4 << 20
 MAGIC, TABLE_MAGIC = b"LWRANS2\n", b"LWFREQ1\n"
 _MARK = struct.Struct("<QQIIII")  # checkpoint: byte offset, first id in the file, ids, bytes, lanes, crc of the ids
 _TAIL = struct.Struct("<QIIIII8s")  # documents, blocks, bytes of the directory, its ids' width, crc of the table, crc of directory and checkpoints, magic
@@ -218,26 +222,42 @@ def _table(path: str) -> tuple[Table, int]:
     return Table.unpacked(data), zlib.crc32(data)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of GATHERED bytes of text, and a row more at most: what texts have in common is looked up once."""
+    held, size = [], 0
+    for b in batches:
+        long = pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        begins = np.flatnonzero(np.diff((np.cumsum(long) - long) // GATHERED, prepend=-1)).tolist()
+        for i, j in zip(begins, [*begins[1:], len(b)], strict=False):
+            held.append(b.slice(i, j - i))
+            size += int(long[i:j].sum())
+            if size >= GATHERED:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def tokenized(docs: DataFrame, path: str, key: str, text: str, file: str, end: int) -> DataFrame:
     """(none, key, ids, turn, counts) in a table written to path: the ids of each text and the end id as bytes, made where
     the texts are read; none tells a null key, turn tells equal rows apart. A row of counts alone, the last of each
     task that saw a document, holds how often the task's documents have each id."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, last, counts = encoder(file).ids, np.array([end], IDS).tobytes(), None
-        for b in batches:
-            ids = [(encode(t) if isinstance(t, str) else b"") + last for t in b["text"]]
-            if ids:
-                found = np.bincount(np.frombuffer(b"".join(ids), IDS), minlength=1 << 16)
-                counts = found if counts is None else counts + found
-            yield pd.DataFrame({"none": b["none"], "key": b["key"], "ids": ids, "turn": b["turn"], "counts": None})
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, counts, names = encoder(file).rows, None, ["none", "key", "ids", "turn", "counts"]
+        for b in _gathered(batches):
+            bounds, ids = rows(b.column("text"), end)
+            found = np.bincount(ids, minlength=1 << 16)
+            counts = found if counts is None else counts + found
+            held = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer((bounds * IDS.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.record_batch([b.column("none"), b.column("key"), held, b.column("turn"), pa.nulls(len(b), pa.binary())], names=names)
         if counts is not None:
-            yield pd.DataFrame({"none": [False], "key": [0], "ids": [None], "turn": [0], "counts": [counts.astype("<i8").tobytes()]})
+            yield pa.record_batch([pa.array([False]), pa.array([0]), pa.array([None], pa.binary()), pa.array([0]), pa.array([counts.astype("<i8").tobytes()])], names=names)
 
     at = F.col(f"`{key}`").cast("long")
     rows = docs.select(F.coalesce(at, F.lit(0)).alias("key"), at.isNull().alias("none"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("turn"))
     shape = "none boolean, key long, ids binary, turn long, counts binary"
-    fewer(rows.mapInPandas(each, shape)).write.option("compression", "zstd").parquet(path)
+    fewer(rows.mapInArrow(each, shape)).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(shape).parquet(path)
 
 

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -29,6 +30,41 @@ def test_ids_are_the_tokenizers(spark, sf, name):
         assert np.frombuffer(e.ids(t), IDS).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t[:50])
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_rows_of_ids_are_the_tokenizers(spark, sf, name, monkeypatch):
+    """Many texts at once, each different part looked up once; texts encoded one at a time in between change nothing."""
+    e, plain, rng = Encoder(vocabulary(name)), Tokenizer.from_file(vocabulary(name)), random.Random(7)
+    signs = ["a", "é", "Wort", "word", ", ", ". ", ",", ".", '"', "'", "'s", " ", " ", "\n", "\n\n", "\t", "\r\n", "&&&", "12", "½", "漢字", "\x02", "\x02,", "\x1c", "\x85", "\xa0", "<|endoftext|>", "x" * 60]
+    made = ["".join(rng.choice(signs[: 12 if i % 2 else None]) + rng.choice(["", " "]) for _ in range(rng.randint(0, 12))) for i in range(4000)]
+    texts = [None, *ODD_TEXTS, *made, *[r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]]
+    want = [[*(plain.encode(t, add_special_tokens=False).ids if t else []), 7] for t in texts]
+    for kept in (tokens.KEPT_BYTES, 20_000):
+        monkeypatch.setattr(tokens, "KEPT_BYTES", kept)
+        for at in range(0, len(texts), 700):
+            bounds, ids = e.rows(pa.array(texts[at : at + 700], pa.string()), 7)
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == want[at : at + 700]
+            assert all(np.frombuffer(e.ids(t), IDS).tolist() == w[:-1] for t, w in zip(texts[at : at + 700], want[at : at + 700], strict=True) if t and len(t) < 100)
+    bounds, ids = e.rows(pa.array([], pa.string()), 7)
+    assert bounds.tolist() == [0] and not len(ids)
+
+
+def test_rows_look_up_each_part_once():
+    e, asked, merged = Encoder(vocabulary("byte_bpe_50k.json")), [], []
+    found, one = e.found, e.merged
+    e.found, e.merged = lambda parts: asked.append(parts) or found(parts), lambda line: merged.append(line) or one(line)
+    e.rows(pa.array(["Qzu qzorb, qzorb. qzorb &&&\nqzorb"] * 500), 2)
+    assert len(asked[0]) == len(set(asked[0])) == 6 and sum("qzorb" in x for x in merged) == 2
+
+
+def test_texts_are_gathered_by_bytes(monkeypatch):
+    monkeypatch.setattr(rans, "GATHERED", 100)
+    sizes = [0, 10, 250, None, 30, 80, 99, 1, 1, 500, 20]
+    batch = pa.record_batch([pa.array(range(len(sizes))), pa.array([None if n is None else "x" * n for n in sizes], pa.string())], names=["key", "text"])
+    got = list(rans._gathered(iter([batch.slice(0, 0), batch, batch.slice(0, 2), batch.slice(3)])))
+    assert [k for b in got for k in b.column("key").to_pylist()] == [*range(11), 0, 1, *range(3, 11)]
+    assert all(sum(map(len, filter(None, b.column("text").to_pylist()[:-1]))) < 200 and len(b) for b in got)
+
+
 def test_special_strings_as_text_and_bounded_memory(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT_BYTES", 20_000)
     e, plain = Encoder(vocabulary("byte_bpe_50k.json"), special_as_text=True), Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
